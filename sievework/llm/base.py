@@ -180,3 +180,38 @@ def slices(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatc
         j = max(i + 1, int(np.searchsorted(size, size[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+# -- values of distinct words ------------------------------------------------------------------------------------
+
+
+class Spelling:
+    """The characters of some words, none of them empty, as one flat array: code, and each word's first and past its last."""
+
+    def __init__(self, words: list[str], before: str = "", after: str = ""):
+        text = before + (after + before).join(words) + after
+        self.code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + len(before) + len(after)
+        self.end = np.cumsum(size)
+        self.start = self.end - size
+
+
+class WordValues:
+    """Remembers a row of numbers for each distinct word, up to so many words; new ones are computed together."""
+
+    def __init__(self, compute, width: int, limit: int):
+        self.compute, self.rows, self.known = compute, np.zeros((limit, width), np.float32), {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        new = list(set(words) - known.keys())
+        if len(known) + len(new) > len(self.rows):
+            known.clear()
+            new = list(set(words))
+            if len(new) > len(self.rows):
+                self.rows = np.zeros((len(new), self.rows.shape[1]), np.float32)
+        if new:
+            first = len(known)
+            self.rows[first : first + len(new)] = self.compute(new)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+        return self.rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
