@@ -47,6 +47,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_repeated", "n_removed", spans.alias("spans"), "others")
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from .base import work_dir
+    from .token_store import crc_of, read, write
+
+    folder = f"{work_dir(spark)}/store-{uuid.uuid4().hex[:12]}"
+    write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), "byte")
+    return read(spark, folder, crc_of, "ids_crc32 long").withColumnRenamed("doc", "doc_id")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import crc_mod
     from .toxicity import fit, toxicity
@@ -67,6 +80,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_token_store": op3_token_store,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
