@@ -60,6 +60,14 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, folder, crc_of, "ids_crc32 long").withColumnRenamed("doc", "doc_id")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import crc_mod
     from .toxicity import fit, toxicity
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_store": op3_token_store,
+    "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
