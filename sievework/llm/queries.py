@@ -33,6 +33,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), words=3, distance=2)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_pii
+
+    found = find_pii(_table(spark, sf_dir, "documents"))
+
+    def spans_of(kind: str) -> F.Column:
+        every = F.concat(kind, F.filter("added", lambda x: x["kind"] == kind))
+        return F.array_sort(F.transform(every, lambda x: F.struct(x["begin"].alias("begin"), x["stop"].alias("stop"))))
+
+    def line(kind: str, spans) -> F.Column:
+        return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["begin"], x["stop"]))
+
+    base = F.array_join(F.concat(*(line(k, F.col(k)) for k in KINDS)), ",")
+    spans = F.array_join(F.concat(*(line(k, spans_of(k)) for k in KINDS)), ",")
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -94,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
