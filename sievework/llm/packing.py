@@ -49,7 +49,7 @@ def _signature(terms: np.ndarray) -> int:
     return out
 
 
-def _encoded(path: str, kind: str | None, end_id: int, window: int, vocabulary: int):
+def _encoded(path: str, kind: str, end_id: int, window: int, vocabulary: int):
     """Pieces that fill a window, rests of documents with their ids (data) and signature, and one row a task with the
     documents that each term is in (kind 2; doc_tokens: of all its documents, length: how many they are)."""
 
@@ -62,9 +62,9 @@ def _encoded(path: str, kind: str | None, end_id: int, window: int, vocabulary:
             types = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*_NAMES, "kind", "signature", "data"])
 
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, 1 << 21)):
             out = []
-            for doc, ids in zip(part.column(0).to_pylist(), e.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(part.column(0).to_pylist(), e.encode(part.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 n = len(ids)
                 for start in range(0, n - window + 1, window):
@@ -169,7 +169,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int)
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str | None, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 16) -> DataFrame:
     """A row for each piece of a document: `id_col`, start and length (ids of the document), ids_crc32, doc_tokens, sequence_id
     and offset (place in the sequence). Sequences have `window` ids, or a power of two.
 

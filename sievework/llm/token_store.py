@@ -67,14 +67,14 @@ def merkle(leaves: list[bytes]) -> bytes:
 _CHUNKS = pa.list_(pa.binary())
 
 
-def _chunks(path: str, kind: str | None, end_id: int, width: int):
+def _chunks(path: str, kind: str, end_id: int, width: int):
     """doc, n, addresses and packed chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, pack = encoder(path, kind), zstandard.ZstdCompressor(level=1, write_content_size=True)
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, 1 << 21)):
             n, addresses, packed = [], [], []
-            for ids in e.encode([t or "" for t in part.column(1).to_pylist()]):
+            for ids in e.encode(part.column(1)):
                 ids = np.append(ids, np.uint32(end_id)).astype(f"<u{width}")
                 last, a, p = 0, [], []
                 for c in cuts(ids):
@@ -111,7 +111,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "doc", "before", "n", "addresses", "packed", "shared", "root"])
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, kind: str | None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> None:
     """Writes the ids of all texts, with end_id after each, as a store in the folder (which must not be there yet).
 
     tokenizer is the path of a vocabulary's file, which the executors read; kind as in `tokens.Encoder`; width the bytes of an

@@ -2,7 +2,9 @@
 
 Both vocabularies used here part a text into words by a pattern and encode each word by itself, so the ids of a text are
 those of its words. Texts of ASCII and Latin letters (where the pattern is spelled out below) are parted here, each
-distinct word is encoded by the library once, and its ids are remembered; all other texts go to the library whole.
+distinct word is encoded by the library once, and its ids are remembered; all other texts go to the library whole. Texts in
+an Arrow array are parted and looked up together, by hashes of their words, with nothing per word in Python but for the
+distinct words of some hundred texts.
 """
 
 from __future__ import annotations
@@ -10,10 +12,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
+from .base import run_hash
+
 #: Distinct words whose ids a worker remembers.
-CACHE = 900_000
+CACHE = 1_200_000
 #: Characters whose class is the same in all versions of Unicode: ASCII without U+001C to U+001F, and Latin letters up to
 #: U+024F (U+0130 excepted, whose lower case is two characters).
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-įı-ɏ]*")
@@ -86,11 +91,160 @@ class Encoder:
         return out
 
 
+#: Classes of bytes: 0 blank, 1 letter (so is any byte of a character that isn't ASCII), 2 digit, 3 other, 4 not for the short way.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_CLASS[0x30:0x3A] = 2
+_CLASS[[*range(0x1C, 0x20), 0x7F]] = 4
+#: First bytes of characters from U+00C0 to U+017F.
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC3, 0xC4, 0xC5]] = True
+_AFTER_MARK = np.zeros(256, bool)
+_AFTER_MARK[[ord(c) for c in "strvmldSTRVMLD"]] = True
+
+
+class ArrayEncoder:
+    """Ids of the texts of Arrow arrays, the short way where it holds (see above), else by `Encoder`."""
+
+    def __init__(self, path: str, kind: str):
+        self.slow, self.word = Encoder(path, kind), kind == "word"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.entry = np.zeros((1 << 16, 3), np.int64)  # where a word's ids begin, how many, the word's bytes
+        self.prefix = np.zeros(1 << 16, np.uint64)  # its first eight bytes
+
+    def _add(self, hashes: list[int], words: list[str], size: np.ndarray, prefixes: np.ndarray) -> None:
+        """Remembers the words' ids. Words that end in letters are encoded many at once, with a character between that parts
+        them; the few others one by one."""
+        first, n = len(self.known), len(words)
+        while first + n > len(self.entry):
+            self.entry = np.concatenate([self.entry, np.zeros_like(self.entry)])
+            self.prefix = np.concatenate([self.prefix, np.zeros_like(self.prefix)])
+        plain = [i for i, w in enumerate(words) if w[-1].isalpha()] if self.slow.pattern else []
+        other = sorted(set(range(n)) - set(plain))
+        order, parts, counts = [*plain, *other], [], []
+        for i in range(0, len(plain), 2000):
+            joined = "\0".join([words[j] for j in plain[i : i + 2000]])
+            ids = np.array(self.slow.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            gap = ids == self.slow.parting
+            at = np.flatnonzero(gap)
+            if len(at) + 1 != len(plain[i : i + 2000]):
+                raise RuntimeError("the vocabulary doesn't keep words apart")
+            counts.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+            parts.append(ids[~gap])
+        for ids in self.slow._whole([words[i] for i in other]):
+            counts.append([len(ids)])
+            parts.append(ids)
+        count, flat = np.concatenate(counts).astype(np.int64), np.concatenate(parts)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        rows = np.stack([self.used + np.cumsum(count) - count, count], 1)
+        self.entry[first + np.array(order), :2] = rows
+        self.entry[first : first + n, 2] = size
+        self.prefix[first : first + n] = prefixes
+        self.used += len(flat)
+        self.known.update(zip(hashes, range(first, first + n), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null as the empty text."""
+        texts = texts.fill_null("")
+        if not len(texts):
+            return []
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int32, count=len(texts) + 1, offset=texts.offset * 4).astype(np.int64)
+        size = int(at[-1] - at[0])
+        b = np.zeros(size + 8, np.uint8)
+        if size:
+            b[:size] = np.frombuffer(data, np.uint8, count=int(at[-1]))[at[0] :]
+        at -= at[0]
+        kind = _CLASS[b]
+        odd = kind == 4
+        # of two-byte characters: letters from U+00C0 to U+017F, but for U+00D7, U+00F7 and U+0130
+        odd |= (b >= 0xC0) & ~_LEADS[b]
+        odd[:-1] |= (b[:-1] == 0xC3) & ((b[1:] == 0x97) | (b[1:] == 0xB7)) | (b[:-1] == 0xC4) & (b[1:] == 0xB0) | (b[:-1] == 0x27) & _AFTER_MARK[b[1:]]
+        if self.word:
+            odd |= (b == 0xC4) | (b == 0xC5)  # lower case by no simple rule
+            b[(b >= 0x41) & (b <= 0x5A)] += 32
+            b[1:][(b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)] += 32
+        edge = np.zeros(size + 1, bool)
+        edge[at] = True
+        blank = kind[: size + 1] == 0
+        blank[size] = False
+        # where words begin
+        new = np.ones(size, bool)
+        if size:
+            before, here = kind[: size - 1], kind[1:size]
+            if self.word:
+                new[1:] = (here != before) | (here == 2)
+            else:
+                ends_run = ~blank[2 : size + 1] & ~edge[2 : size + 1]  # the next byte is of the same text and no blank
+                new[1:] = np.where(here == 0, (before != 0) | ends_run, np.where(before == 0, b[: size - 1] != 0x20, here != before))
+        new |= edge[:size]
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], size)
+        if self.word:
+            keep = ~blank[start]
+            start, end = start[keep], end[keep]
+        whole = np.flatnonzero(np.add.reduceat(np.append(odd[:size], False), np.minimum(at[:-1], size)) * (np.diff(at) > 0))
+        first = np.searchsorted(start, at)
+        found = self._look_up(b, start, end)
+        cum = np.append(0, np.cumsum(self.entry[found, 1]))
+        lengths = self.entry[found, 1]
+        flat = self.ids[np.repeat(self.entry[found, 0] - cum[:-1], lengths) + np.arange(cum[-1])]
+        out = np.split(flat, cum[first[1:-1]])
+        for i, ids in zip(whole.tolist(), self.slow.encode([texts[int(i)].as_py() for i in whole]), strict=True):
+            out[i] = ids
+        return out
+
+    def _look_up(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The entry of each word."""
+        hashes = run_hash(b.astype(np.uint64) + np.uint64(1), start, end)
+        uniq, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        s, e = start[one], end[one]
+        prefix = np.zeros(len(s), np.uint64)
+        for j in range(8):
+            prefix |= np.where(s + j < e, b[np.minimum(s + j, len(b) - 1)], 0).astype(np.uint64) << np.uint64(8 * j)
+        keys = uniq.tolist()
+        got = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        if (got < 0).sum() + len(self.known) > CACHE:
+            self._forget()
+            got[:] = -1
+        miss = np.flatnonzero(got < 0)
+        if len(miss):
+            data = b.tobytes()
+            # a text that isn't for the short way may have words here that are no whole characters; nothing reads them
+            words = [_text(data[x:y]) for x, y in zip(s[miss].tolist(), e[miss].tolist(), strict=True)]
+            if None in words:
+                keep = np.array([w is not None for w in words])
+                miss, words = miss[keep], [w for w in words if w is not None]
+            got[got < 0] = 0
+            if words:
+                known = len(self.known)
+                self._add([keys[i] for i in miss.tolist()], words, (e - s)[miss], prefix[miss])
+                got[miss] = known + np.arange(len(words))
+        same = (self.prefix[got] == prefix) & (self.entry[got, 2] == e - s)
+        if not same.all() and any(_text(b[x:y].tobytes()) is not None for x, y in zip(s[~same], e[~same], strict=True)):
+            raise RuntimeError("two words have one hash")
+        return got[inverse]
+
+
+def _text(w: bytes) -> str | None:
+    try:
+        return w.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, kind: str | None) -> Encoder:
+def encoder(path: str, kind: str) -> ArrayEncoder:
     """One for all tasks of a worker, so that what it remembers serves the next."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
+        _ENCODERS[path, kind] = ArrayEncoder(path, kind)
     return _ENCODERS[path, kind]
