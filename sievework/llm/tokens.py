@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from .base import run_hash
 
 #: Distinct words whose ids a worker remembers.
-CACHE = 1_200_000
+CACHE = 900_000
 #: Characters whose class is the same in all versions of Unicode: ASCII without U+001C to U+001F, and Latin letters up to
 #: U+024F (U+0130 excepted, whose lower case is two characters).
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-įı-ɏ]*")
