@@ -38,10 +38,15 @@ def repeated(rows: DataFrame, window: int, k: int, within: bool = False) -> Data
                 again = np.zeros(len(h), bool)
                 again[:-1] = same[1:]  # the first of those a document has more than once
                 ids = np.asarray(part.column(0))[of]
-                yield pa.record_batch([pa.array(h[~same].view(np.int64)), pa.array(ids[~same]), pa.array(again[~same])], names=["h", "doc", "again"])
+                if within:
+                    h, ids = np.concatenate([h[~same], h[again]]), np.concatenate([ids[~same], ~ids[again]])
+                else:
+                    h, ids = h[~same], ids[~same]
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids)], names=["h", "doc"])
 
-    found = rows.mapInArrow(run, "h long, doc long, again boolean").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("again").alias("again"))
-    return found.where("a < b OR again" if within else "a < b").select("h")
+    # what a document repeats is a row with a second id, that no other document has
+    found = rows.mapInArrow(run, "h long, doc long").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
+    return found.where("a < b").select("h")
 
 
 def bit_table(hashes: DataFrame, words: int = TABLE_WORDS) -> Broadcast:

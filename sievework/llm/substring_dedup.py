@@ -191,15 +191,14 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     spark = docs.sparkSession
     table = bit_table(repeated(docs, window, gram))
     passages = _passages(docs, table, window, gram).read()
-    # the smallest id of each passage in a batch, by the batch's own row with the text; copies elsewhere lower it later
-    refs = passages.groupBy("h", "cid").agg(F.min("doc").alias("least"), F.max("text").alias("text"))
-    refs = refs.repartition(partitions(spark), "h").sortWithinPartitions("h")
+    # the row of a batch that has a passage's text has the smallest id of the batch too
+    refs = passages.where("text IS NOT NULL").select("h", "cid", F.col("doc").alias("least"), "text").repartition(partitions(spark), "h").sortWithinPartitions("h")
     found = WorkTable(refs.mapInArrow(_least(window, most), "h long, cid long, ids array<long>, place int, win string, least long"), "least").read()
     single = found.where("win IS NOT NULL")
     by_win = materialize(single.groupBy("h", "win").agg(F.min("least").alias("all")), "windows")
-    listed = single.join(by_win, ["h", "win"]).groupBy("h", "cid").agg(F.array_sort(F.collect_set(F.struct("place", "all"))).alias("x")).select("h", "cid", F.col("x.all").alias("ids"))
-    ids = found.where("ids IS NOT NULL").select("h", "cid", "ids").unionByName(listed)
-    hit = passages.select("h", "cid", "doc", "first").join(ids, ["h", "cid"]).where(F.array_min("ids") < F.col("doc"))
+    listed = single.join(by_win, ["h", "win"]).groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("place", "all"))).alias("x")).select("cid", F.col("x.all").alias("ids"))
+    ids = found.where("ids IS NOT NULL").select("cid", "ids").unionByName(listed)
+    hit = passages.select("cid", "doc", "first").join(ids, "cid").where(F.array_min("ids") < F.col("doc"))
     starts = F.expr("filter(transform(ids, (x, i) -> IF(x < doc, first + i, NULL)), x -> x IS NOT NULL)")
     return hit.select("doc", starts.alias("starts")).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
