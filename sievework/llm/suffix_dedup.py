@@ -1,158 +1,230 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages: windows of 50 words that another place has too, found at minimisers and told by sorting.
 
-Of each document only the suffixes at minimiser positions are kept: any 50 words that repeat have one inside, at the same
-place. They are sorted, neighbours are compared, and what they share to the right is extended to the left; 50 words or
-more in all are a repeated passage. A suffix carries so many words as a passage must have to either side: longer repeats
-are put together from the several minimisers inside them.
+Any 50 words that repeat have the same minimiser at the same place, so only windows whose minimiser is found twice take
+part. A minimiser stands for a few consecutive windows, together its passage. Where all its places have the same passage
+(copies), the passage is one row; where they differ, each window is a row of its own. Rows are sorted by (minimiser, hash,
+document, place): a run of two or more is a repeated passage, whatever stands to the left or right of it and however many
+others share the minimiser. Nothing is capped.
 
-The sort is dealt by range over (minimiser, words, document), so a passage that a third of all rows share is spread over
-many tasks; the few suffixes on either side of each border between tasks are compared in a table of their own.
+The sort is dealt by range over all four, so a passage that a third of all rows share is spread over many tasks. Runs at
+the borders between tasks, and very long ones, are summed up by an aggregate: two keys a task and one for each LONG rows
+at most, which are broadcast to the rows of those runs.
+
+Windows are told apart by two hashes of 64 bits (of the minimiser's words, and of all words), not by their texts.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import bit_table, in_table, repeated
-from .base import WorkTable, Words, documents_of, partitions, short_batches, slices
+from .anchors import bit_table, in_table
+from .base import WorkTable, Words, documents_of, partitions, run_hash, short_batches, slices
 
 WORDS, GRAM = 50, 8
-#: Neighbours that a suffix is compared with on either side.
-NEAR = 3
+#: Rows of one run that a task holds at most; a longer one is left to the aggregate.
+LONG = 200_000
+
+_PLACE = "h long, key long, doc long, pos long, n long"
+_FOUND = "doc long, begin long, stop long, gone_begin long, gone_stop long, other long, h long, key long, n long"
+
+
+def _minimisers(rows: DataFrame, words: int, gram: int) -> DataFrame:
+    """h of the minimisers at two places or more, and whether their passages differ (mixed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                w = Words(part.column(1))
+                _, h, lo, hi = w.anchors(words, gram)
+                if not len(h):
+                    continue
+                cid = run_hash(w.hash, lo, hi + words).view(np.int64)
+                order = np.argsort(h, kind="stable")
+                h, cid = h[order], cid[order]
+                new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                yield pa.record_batch(
+                    [pa.array(h[new].view(np.int64)), pa.array(np.minimum.reduceat(cid, new)), pa.array(np.maximum.reduceat(cid, new)), pa.array(np.diff(np.append(new, len(h))))],
+                    names=["h", "low", "high", "n"],
+                )
 
-_SUFFIX = "h long, doc long, pos long, before string, after string"
-_FOUND = "doc long, begin long, stop long, gone_begin long, gone_stop long, other long, edge long, h long, pos long, before string, after string"
+    found = rows.mapInArrow(run, "h long, low long, high long, n long").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    return found.where("n > 1").select("h", (F.col("low") < F.col("high")).alias("mixed"))
 
 
-def _suffixes(rows: DataFrame, table, words: int, gram: int) -> DataFrame:
+def _places(rows: DataFrame, table, mixed, words: int, gram: int) -> DataFrame:
+    """Of minimisers in the table: passages (n windows from word pos of doc, key: a hash of their words), or one row a window
+    where the minimiser is in `mixed`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column(1))
-                at, h, _, _ = w.anchors(words, gram)
-                use = in_table(bits, h)
-                at, h = at[use], h[use]
-                if not len(at):
+                _, h, lo, hi = w.anchors(words, gram)
+                use = in_table(table.value, h)
+                h, lo, hi = h[use], lo[use], hi[use]
+                if not len(h):
                     continue
-                text, data = w.of[at], w.data.tobytes()
-                lo, hi = np.maximum(w.first[text], at - words), np.minimum(w.first[text + 1], at + words)
-                before = [b" ".join(data[w.start[a] : w.start[b]].split()) for a, b in zip(lo.tolist(), at.tolist(), strict=True)]
-                after = [b" ".join(data[w.start[a] : w.end[b - 1]].split()) for a, b in zip(at.tolist(), hi.tolist(), strict=True)]
+                one = in_table(mixed.value, h)
+                times = np.where(one, hi - lo + 1, 1)
+                first = np.cumsum(times) - times
+                of = np.repeat(np.arange(len(h)), times)
+                begin = lo[of] + np.arange(len(of)) - first[of]
+                n = np.where(one, 1, hi - lo + 1)[of]
+                key = run_hash(w.hash, begin, begin + n + (words - 1))
+                text = w.of[begin]
                 yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), pa.array(np.asarray(part.column(0))[text]), pa.array(at - w.first[text]), pa.array(before, pa.binary()).cast(pa.string()), pa.array(after, pa.binary()).cast(pa.string())],
-                    names=["h", "doc", "pos", "before", "after"],
+                    [pa.array(h[of].view(np.int64)), pa.array(key.view(np.int64)), pa.array(np.asarray(part.column(0))[text]), pa.array(begin - w.first[text]), pa.array(n)],
+                    names=["h", "key", "doc", "pos", "n"],
                 )
 
-    return rows.mapInArrow(run, _SUFFIX)
+    return rows.mapInArrow(run, _PLACE)
 
 
-class _Suffix:
-    __slots__ = ("h", "doc", "pos", "before", "after", "left", "right", "gone_left", "gone_right", "other", "hit")
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+_NONE = np.iinfo(np.int64).max
 
-    def __init__(self, h, doc, pos, before, after):
-        self.h, self.doc, self.pos, self.before, self.after = h, doc, pos, before, after
-        self.left = self.right = self.gone_left = self.gone_right = 0
-        self.other, self.hit = None, False
 
-    def meet(self, other: _Suffix, words: int) -> None:
-        """Notes for both what they share, if it is enough."""
-        if self.after == other.after:
-            right = self.after.count(" ") + 1
-        else:
-            right = _shared(self.after.split(" "), other.after.split(" "))
-        if self.before == other.before:
-            left = self.before.count(" ") + 1 if self.before else 0
-        else:
-            left = _shared(self.before.split(" ")[::-1], other.before.split(" ")[::-1])
-        if left + right < words:
-            return
-        for x, y in ((self, other), (other, self)):
-            x.hit = True
-            x.left, x.right = max(x.left, left), max(x.right, right)
-            if (y.doc, y.pos) < (x.doc, x.pos):
-                x.gone_left, x.gone_right = max(x.gone_left, left), max(x.gone_right, right)
-            if y.doc != x.doc and (x.other is None or y.doc < x.other):
-                x.other = y.doc
+def _found(*columns) -> pa.RecordBatch:
+    size = next(len(c) for c in columns if c is not None)
+    return pa.record_batch([pa.nulls(size, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
 
-def _shared(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+def _as_they_are(h, key, doc, pos, n) -> pa.RecordBatch:
+    return _found(doc, pos, None, None, None, None, h, key, n)
 
 
-def _neighbours(words: int, near: int):
-    """Of sorted suffixes: what each shares with its neighbours, and the first and last of the task, once more, with
-    `edge`, by which the edges of all tasks sort as the suffixes do."""
+def _together(doc, pos, n, gone, other, words: int) -> pa.RecordBatch:
+    """Windows one after the other, with the same to tell, as one row."""
+    order = np.lexsort((pos, gone, other, doc))
+    doc, pos, stop, gone, other = doc[order], pos[order], (pos + n + (words - 1))[order], gone[order], other[order]
+    head = np.ones(len(doc), bool)
+    head[1:] = (doc[1:] != doc[:-1]) | (gone[1:] != gone[:-1]) | (other[1:] != other[:-1]) | (pos[1:] > stop[:-1])
+    at = np.flatnonzero(head)
+    stop = np.maximum.reduceat(stop, at)
+    doc, pos, gone, other = doc[at], pos[at], gone[at], other[at]
+    return _found(doc, pos, stop, pos, np.where(gone, stop, pos), pa.array(other, pa.int64(), mask=other == _NONE), None, None, None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        task, count, head = TaskContext.get().partitionId() << 32, 0, 0
-        window: deque[_Suffix] = deque()
 
-        def leave(s: _Suffix) -> None:
-            if s.hit:
-                out.append((s.doc, s.pos - s.left, s.pos + s.right, s.pos - s.gone_left, s.pos + s.gone_right, s.other, None, None, None, None, None))
+def _heads(h, key) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]))
 
-        def edge(s: _Suffix) -> None:
-            out.append((s.doc, None, None, None, None, None, task | count, s.h, s.pos, s.before, s.after))
 
-        def flush() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 9 + [pa.string()] * 2
-            b = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _FOUND.split(", ")])
-            out.clear()
-            return b
+def _runs(words: int, longest: int):
+    """Of sorted places: what other places have too, as in `repeated_passages`. Places of runs that may go on in another task,
+    and of very long ones, come as they are, with h."""
+    def whole(rows: list[np.ndarray], first: bool) -> Iterator[pa.RecordBatch]:
+        """Complete runs; the first of the task may be incomplete."""
+        h, key = rows[:2]
+        new = _heads(h, key)
+        if first:
+            size = int(new[1]) if len(new) > 1 else len(h)
+            yield _as_they_are(*(x[:size] for x in rows))
+            rows, new = [x[size:] for x in rows], new[1:] - size
+        size = np.diff(np.append(new, len(rows[0])))
+        keep = np.repeat(size > 1, size)
+        doc, pos, n = (x[keep] for x in rows[2:])
+        size = size[size > 1]
+        if not len(size):
+            return
+        new = np.cumsum(size) - size
+        run = np.repeat(np.arange(len(size)), size)
+        least = doc[new]
+        second = np.minimum.reduceat(np.where(doc != least[run], doc, _NONE), new)
+        other = np.where(doc != least[run], least[run], second[run])
+        gone = np.ones(len(doc), bool)
+        gone[new] = False
+        yield _together(doc, pos, n, gone, other, words)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        count, first = 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            count += batch.num_rows
+            if count < longest:  # so many at a time, that windows of one passage are met together
+                continue
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            if cut:
+                yield from whole([x[:cut] for x in rows], first)
+                first = False
+            held = [[x[cut:] for x in rows]]
+            count -= cut
+            if count >= longest:  # a very long run; what is still to come of it goes the same way
+                yield _as_they_are(*(x[:-1] for x in held[0]))
+                held, count, first = [[x[-1:] for x in held[0]]], 1, True
+        if count:
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            if cut:
+                yield from whole([x[:cut] for x in rows], first)
+            yield _as_they_are(*(x[cut:] for x in rows))
+
+    return task
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each run in a batch of places (h, key, doc, pos): its first and last place, and its second document."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, key, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        order = np.lexsort((pos, doc, key, h))
+        h, key, doc, pos = h[order], key[order], doc[order], pos[order]
+        new = _heads(h, key)
+        size = np.diff(np.append(new, len(h)))
+        last = new + size - 1
+        second = np.minimum.reduceat(np.where(doc != np.repeat(doc[new], size), doc, _NONE), new)
+        yield pa.record_batch([pa.array(x) for x in (h[new], key[new], doc[new], pos[new], doc[last], pos[last], second)], names=["h", "key", "doc", "pos", "last_doc", "last_pos", "second"])
+
+
+def _told(least, words: int):
+    """As `_runs`, of places (h, key, doc, pos, n) whose runs' first place and second document are known."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                s = _Suffix(*row)
-                if head < near:
-                    edge(s)
-                    head += 1
-                for other in window:
-                    if other.h == s.h:
-                        s.meet(other, words)
-                window.append(s)
-                count += 1
-                if len(window) > near:
-                    leave(window.popleft())
-            if len(out) >= 2000:
-                yield flush()
-        first = count - len(window)
-        for i, s in enumerate(window):
-            leave(s)
-            if first + i >= head:  # else it is there as one of the first
-                count = first + i + 1
-                edge(s)
-        if out:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            h, key, doc, pos, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            new = _heads(h, key)
+            found = [least.value.get(x) for x in zip(h[new].tolist(), key[new].tolist(), strict=True)]
+            size = np.diff(np.append(new, len(h)))
+            keep = np.repeat([x is not None for x in found], size)
+            if not keep.any():
+                continue
+            first, at, second = (np.repeat([x[i] if x else 0 for x in found], size)[keep] for i in range(3))
+            doc, pos, n = doc[keep], pos[keep], n[keep]
+            yield _together(doc, pos, n, (doc != first) | (pos != at), np.where(doc != first, first, second), words)
 
     return run
 
 
-def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, near: int = NEAR) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, longest: int = LONG) -> DataFrame:
     """doc, begin, stop (words of it that another place has too), gone_begin, gone_stop (the part that an earlier document,
-    or an earlier place of this one, has; empty if none) and other (the smallest other document met)."""
+    or an earlier place of this one, has; empty if none) and other (the smallest other document with them)."""
     spark = docs.sparkSession
-    table = bit_table(repeated(docs, words, gram, within=True))
-    kept = WorkTable(_suffixes(docs, table, words, gram), "suffixes").read()
-    order = ["h", "after", "doc", "pos"]
-    met = WorkTable(kept.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_neighbours(words, near), _FOUND), "neighbours").read()
-    # 2 * near rows a task
-    edges = met.where("edge IS NOT NULL").select("edge", "h", "doc", "pos", "before", "after").coalesce(1).sortWithinPartitions("edge").drop("edge")
-    across = edges.mapInArrow(_neighbours(words, near), _FOUND)
-    return met.unionByName(across).where("begin IS NOT NULL").select("doc", "begin", "stop", "gone_begin", "gone_stop", "other")
+    h = WorkTable(_minimisers(docs, words, gram), "minimisers").read()
+    places = WorkTable(_places(docs, bit_table(h.select("h")), bit_table(h.where("mixed").select("h")), words, gram), "places").read()
+    order = ["h", "key", "doc", "pos"]
+    met = WorkTable(places.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_runs(words, longest), _FOUND), "runs").read()
+    rest = met.where("h IS NOT NULL").select("h", "key", "doc", F.col("begin").alias("pos"), "n")
+    ends = WorkTable(rest.select("h", "key", "doc", "pos").mapInArrow(_ends, "h long, key long, doc long, pos long, last_doc long, last_pos long, second long"), "ends").read()
+    led = ends.groupBy("h", "key").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max(F.struct("last_doc", "last_pos")).alias("most")).where("least.doc <> most.last_doc OR least.pos <> most.last_pos")
+    second = F.min(F.when(F.col("doc") == F.col("least.doc"), F.col("second")).otherwise(F.col("doc")))
+    # two keys a task, one for each LONG rows
+    known = ends.join(F.broadcast(led), ["h", "key"]).groupBy("h", "key").agg(F.min("least").alias("least"), second.alias("second")).collect()
+    least = spark.sparkContext.broadcast({(r["h"], r["key"]): (r["least"]["doc"], r["least"]["pos"], r["second"]) for r in known})
+    across = rest.mapInArrow(_told(least, words), _FOUND)
+    return met.where("h IS NULL").unionByName(across).select("doc", "begin", "stop", "gone_begin", "gone_stop", "other")
 
 
 #: Sorted spans, those that overlap or touch as one.
@@ -162,7 +234,7 @@ _UNITED = "aggregate({0}, cast(array() AS array<struct<begin:bigint,stop:bigint>
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """Each document (`id_col`) with n_words, spans (struct(begin, stop) of words that repeat elsewhere, in passages of so
     many words at least), gone (of those, what an earlier document or place has, to be removed), n_repeated, n_removed
-    and others (ids of documents that share a passage: of each place the smallest one met).
+    and others (ids of documents that share a passage: of each place the smallest one).
 
     Words are parted by blanks and not changed otherwise. Null and empty texts have none; a text of fewer words than a
     passage has no spans. Rows without an id get no row, rows that repeat an id count as one document, other columns play

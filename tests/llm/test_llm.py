@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from sievework.llm import decontaminate, exact_dedup, langid, packing, pii, simhash, substring_dedup, suffix_dedup, token_store, tokens, toxicity
+from sievework.llm import base, decontaminate, exact_dedup, langid, packing, pii, simhash, substring_dedup, suffix_dedup, token_store, tokens, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -132,6 +132,32 @@ def test_suffix_dedup(spark, rows):
     assert all(r.n_words == len(_words(dict(rows)[i])) for i, r in got.items())
 
 
+@pytest.mark.parametrize("longest", [suffix_dedup.LONG, 3])
+def test_suffix_dedup_of_passages_that_end_alike(spark, longest, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n))
+    # a line that the minimiser falls into
+    line = min((text(16) for _ in range(200)), key=lambda x: base.Words(pa.array([x])).grams(8).min())
+    heads = [text(36) for _ in range(250)]
+    docs = [(i, f"{text(20)} {heads[i % 250]} {line} {text(40)}") for i in range(500)] + [(i, f"{text(30)} {line} {text(60)}") for i in range(500, 900)]
+    docs += [(900, f"{heads[0]} {line} {text(9)} {heads[0]} {line}")]
+    monkeypatch.setattr(suffix_dedup.repeated_passages, "__defaults__", (50, 8, longest))
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    places = defaultdict(list)
+    for i, t in docs:
+        w = _words(t)
+        for k in range(len(w) - 49):
+            places[" ".join(w[k : k + 50])].append((i, k))
+    cover, gone, others = defaultdict(set), defaultdict(set), defaultdict(set)
+    for p in places.values():
+        for i, k in p if len(p) > 1 else []:
+            cover[i].update(range(k, k + 50))
+            gone[i].update(range(k, k + 50) if (i, k) > min(p) else [])
+            others[i].update([j for j, _ in sorted(p) if j != i][:1])
+    words_of = lambda spans: {k for s in spans for k in range(s.begin, s.stop)}
+    assert {i: (words_of(r.spans), words_of(r.gone), set(r.others)) for i, r in got.items()} == {i: (cover[i], gone[i], others[i]) for i, _ in docs}
+
+
 def test_decontaminate(spark, rows):
     text = dict(rows)
     items = [(1, " ".join(_words(text[2])[:40])), (2, "w1 w2"), (3, None), (4, ""), (10, text[5]), (2, "w7")]
