@@ -229,25 +229,41 @@ def _wide(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, sketch long, blocks array<int>")
 
 
-def _leaders(far: int):
-    """Of rows (key, sketch, rep) sorted by key: in each run the first row leads all whose sketches are near its own, the first
-    of the rest leads likewise, and so on; pairs of leader and follower. Never more pairs than rows."""
-
-    def run_pairs(key: np.ndarray, sketch: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _leaders(far: int, most: int, short: int = 16):
+    """Of rows (key, sketch, rep) sorted by key: in each run the first `most` rows lead all whose sketches are near one of
+    theirs, the first of the rest lead likewise, and so on. Leaders are paired with all rows of the run with near sketches:
+    a leads b, whose sketch is there too; `back` says that b has not been compared with all others. In a run of `short` rows
+    or fewer, all lead."""
+    names = ["key", "sketch", "a", "b", "back"]
+
+    def run_pairs(key: np.ndarray, sketch: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(new, len(key)))
         two = new[size == 2]
         two = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]) <= far]
-        a, b = [rep[two]], [rep[two + 1]]
+        a, b, back = [two], [two + 1], [np.zeros(len(two), bool)]
         for start, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            i = np.arange(start, start + n)
-            while len(i) > 1:
-                near = np.bitwise_count(sketch[i] ^ sketch[i[0]]) <= far
-                follow = i[1:][near[1:]]
-                a.append(np.full(len(follow), rep[i[0]]))
-                b.append(rep[follow])
-                i = i[~near]
-        return np.concatenate(a), np.concatenate(b)
+            every = np.arange(start, start + n)
+            leads, i = np.zeros(n, bool), every
+            k = n if n <= short else most
+            pairs = []
+            while len(i):
+                stay = np.ones(n, bool)
+                for lead in i[:k].tolist():
+                    leads[lead - start] = True
+                    near = np.bitwise_count(sketch[every] ^ sketch[lead]) <= far
+                    stay &= ~near
+                    near[lead - start] = False
+                    pairs.append((lead, every[near]))
+                i = i[k:]
+                i = i[stay[i - start]]
+            for lead, follow in pairs:
+                follow = follow[~leads[follow - start] | (follow > lead)]  # two leaders are one pair
+                a.append(np.full(len(follow), lead))
+                b.append(follow)
+                back.append(~leads[follow - start])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.record_batch([pa.array(key[a]), pa.array(sketch[b].view(np.int64)), pa.array(rep[a]), pa.array(rep[b]), pa.array(np.concatenate(back))], names=names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -261,12 +277,10 @@ def _leaders(far: int):
             # a run that goes on is held; a very long one is done in parts, each with leaders of its own
             cut = len(same) if same.all() and len(same) > 50_000 else len(same) - int(same[::-1].argmin() if not same.all() else len(same))
             if cut:
-                a, b = run_pairs(rows[0][:cut], rows[1][:cut].view(np.uint64), rows[2][:cut])
-                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield run_pairs(rows[0][:cut], rows[1][:cut].view(np.uint64), rows[2][:cut])
             held = [x[cut:] for x in rows]
         if held is not None and len(held[0]):
-            a, b = run_pairs(held[0], held[1].view(np.uint64), held[2])
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield run_pairs(held[0], held[1].view(np.uint64), held[2])
 
     return task
 
@@ -292,8 +306,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     Two texts are near-duplicates if the Jaccard similarity of their sets of word shingles is at least `similarity`; groups
     are the connected components. Wide SimHash fingerprints propose pairs: texts of similarity 0.8 agree in a given block of
     20 bits with probability 0.037 and in one of 96 with 0.97; of 0.85 with 0.998. Rows are sorted by
-    block; in each run of equal blocks followers are paired with a leader, so rows stay in proportion however large a group
-    is, and each of the 96 blocks has leaders of its own. All pairs are then checked by their whole sets.
+    block; in each run of equal blocks followers are paired with leaders, and pairs are checked by their whole sets. Followers
+    that no leader keeps are a run again, with twice as many leaders, until none is left: a group of near-duplicates costs
+    pairs in proportion to its size, texts that are somewhat similar up to all pairs of their run. Followers of one leader
+    are not compared with one another in that block, nor are the parts of a run that tasks part.
 
     Texts without words have no near-duplicates; texts shorter than a shingle are compared as a whole. Rows without an id are
     left out, rows that repeat an id count as one document, other columns play no part; an empty table has no groups.
@@ -306,9 +322,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     of = wide.join(reps, ["sketch", "same"])
     heads = of.where("doc = rep").select("sketch", "rep", F.posexplode("blocks").alias("block", "bits"))
     keyed = heads.select(F.xxhash64("block", "bits").alias("key"), "sketch", "rep", F.xxhash64("rep", "block").alias("turn"))
-    dealt = keyed.repartitionByRange(partitions(spark), "key", "turn").sortWithinPartitions("key", "turn").select("key", "sketch", "rep")
-    pairs = WorkTable(dealt.mapInArrow(_leaders(FAR), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs").read()
-    found = _verified(pairs, rows, words, similarity).unionByName(of.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")))
+    found = of.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    most = 1
+    while True:
+        dealt = keyed.repartitionByRange(partitions(spark), "key", "turn").sortWithinPartitions("key", "turn").select("key", "sketch", "rep")
+        pairs = WorkTable(dealt.mapInArrow(_leaders(FAR, most), "key long, sketch long, a long, b long, back boolean"), "pairs").read()
+        same = WorkTable(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, words, similarity), "similar").read()
+        found = found.unionByName(same)
+        # those that no leader keeps are a run again
+        either = same.unionByName(same.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("kept", F.lit(True))
+        left = pairs.where("back").join(either, ["a", "b"], "left").groupBy("key", "sketch", F.col("b").alias("rep")).agg(F.max("kept").alias("kept"))
+        keyed = WorkTable(left.where("kept IS NULL").select("key", "sketch", "rep", F.xxhash64("rep", "key").alias("turn")), "left").read()
+        if keyed.isEmpty():
+            break
+        most *= 2
     return components(found).select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
 
 

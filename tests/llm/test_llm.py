@@ -95,6 +95,19 @@ def test_near_duplicates(spark, rows):
     assert {i: got.get(i, i) for i in s if s[i]} == {i: want[i] for i in s if s[i]}
 
 
+def test_near_duplicates_in_a_family(spark):
+    """Texts of similarity 0.76, not enough, among them pairs of 0.82."""
+    rng = random.Random(9)
+    text = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(100000)}" for _ in range(n)]
+    shared = text(165)
+    docs = [(i, " ".join(shared + text(25))) for i in range(500)]
+    docs += [(2000 + i, " ".join(docs[i][1].split()[:-18] + text(18))) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect() if r.doc_id >= 2000}
+    # a pair of similarity 0.82 is in none of 96 blocks together with a probability of 0.01
+    assert got <= {(2000 + i, i) for i in range(80)} and len(got) >= 76
+
+
 def test_substring_dedup(spark, rows, monkeypatch):
     docs = _df(spark, rows)
     first, win = {}, {}
