@@ -22,8 +22,8 @@ from .base import Words, slices
 TABLE_WORDS = 1 << 21
 
 
-def repeated(rows: DataFrame, window: int, k: int, within: bool = False) -> DataFrame:
-    """The hashes of minimisers that two documents or more have; with `within`, also of those one document repeats."""
+def repeated(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """h, the hash of a minimiser that two documents or more have, and n, in how many rows of `slices` it is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -33,24 +33,17 @@ def repeated(rows: DataFrame, window: int, k: int, within: bool = False) -> Data
                 of = w.of[at]
                 order = np.lexsort((of, h))
                 h, of = h[order], of[order]
-                same = np.zeros(len(h), bool)
-                same[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
-                again = np.zeros(len(h), bool)
-                again[:-1] = same[1:]  # the first of those a document has more than once
-                ids = np.asarray(part.column(0))[of]
-                if within:
-                    h, ids = np.concatenate([h[~same], h[again]]), np.concatenate([ids[~same], ~ids[again]])
-                else:
-                    h, ids = h[~same], ids[~same]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+                h, ids = h[new], np.asarray(part.column(0))[of[new]]
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids)], names=["h", "doc"])
 
-    # what a document repeats is a row with a second id, that no other document has
-    found = rows.mapInArrow(run, "h long, doc long").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
-    return found.where("a < b").select("h")
+    found = rows.mapInArrow(run, "h long, doc long").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n"))
+    return found.where("a < b").select("h", "n")
 
 
 def bit_table(hashes: DataFrame, words: int = TABLE_WORDS) -> Broadcast:
-    """A table of 64 * words bits (a power of two), with one set for each hash; summed up before it is sent."""
+    """A table of 64 * words bits (a power of two), with one set for each hash (column h); summed up before it is sent."""
     shift = 64 - (words.bit_length() - 1)
     at = F.shiftrightunsigned("h", shift)
     parts = hashes.select(at.alias("w"), F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))

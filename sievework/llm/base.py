@@ -2,10 +2,15 @@
 
 Work tables are Parquet under ``spark.checkpoint.dir`` (shared by driver and executors on a cluster), in a folder of
 this application. A returned DataFrame may still read them, so they stay until :func:`release` is called.
+
+Hashes by prefix sums (`run_hash`) only choose places and deal rows; texts that differ may be made to agree in them. Where
+contents must be told apart, they are compared, or digests of 128 bits are (`digests`).
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,8 +24,13 @@ BATCH_ROWS = 2000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder of this application's work tables; the warehouse's parent stands in where no checkpoint folder is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
+    """The folder of this application's work tables. In local mode a folder beside the warehouse stands in where no checkpoint
+    folder is set; on a cluster that might be a machine's own, so the setting is asked for."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
     return f"{top.rstrip('/')}/sievework-{spark.sparkContext.applicationId}"
 
 
@@ -79,6 +89,7 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 #: The bytes that part words: the blank and U+0009 to U+000D.
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -104,13 +115,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def run_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of values[first:last] for each pair, by prefix sums of a polynomial; the same wherever the run stands."""
+    """A hash of values[first:last] for each pair, by prefix sums of a polynomial; the same wherever the run stands. Runs
+    that differ can be made to agree (Thue-Morse words): it proposes, and never decides what is equal."""
     up, down = _powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
 
+def digests(parts: list[bytes]) -> np.ndarray:
+    """128 bits of each, as a row of two signed numbers."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), "<i8").reshape(-1, 2)
+
+
 class Words:
     """The words of some texts: flat arrays over all of them, nothing per word in Python."""
 
@@ -132,6 +149,40 @@ class Words:
         self.of = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
         self.hash = run_hash(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end)
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words, each with one blank behind it, and where each begins (and the end): words i to j are the bytes from
+        the i-th place to one before the j-th."""
+        size = self.end - self.start + 1
+        at = np.concatenate([[0], np.cumsum(size)])
+        out = np.full(int(at[-1]), 0x20, np.uint8)
+        own = np.ones(len(out), bool)
+        own[at[1:] - 1] = False
+        out[own] = self.data[np.repeat(self.start - at[:-1], size)[own] + np.flatnonzero(own)]
+        return out.tobytes(), at
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word, equal for equal words only; of use among the words of this object."""
+        size = self.end - self.start
+        data = np.concatenate([self.data, np.zeros(16, np.uint8)])
+        lane = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        # up to 16 bytes, the first and the last eight (or what there is) and the length are the word
+        first = lane[self.start] & _KEEP[np.minimum(size, 8)]
+        last = np.where(size > 8, lane[np.maximum(self.end - 8, 0)], np.uint64(0))
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            seen: dict[bytes, int] = {}
+            raw = self.data.tobytes()
+            first[long] = [seen.setdefault(raw[s:e], len(seen)) for s, e in zip(self.start[long].tolist(), self.end[long].tolist(), strict=True)]
+            last[long] = 0
+            size = np.where(size > 16, 17, size)
+        order = np.lexsort((size, last, first))
+        first, last, size = first[order], last[order], size[order]
+        new = np.zeros(len(order), np.int64)
+        new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1]) | (size[1:] != size[:-1])
+        out = np.empty(len(order), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
     def grams(self, k: int) -> np.ndarray:
         """A hash of the k words from each word on; what crosses a text's end has no meaning."""
         n = len(self.hash) - k + 1

@@ -9,9 +9,13 @@ state of that window's length tells the smallest id.
 One automaton of all documents, sent to all, would have each document read as often as there are shards, which grows
 with the square of the corpus. Shards are therefore cut by the minimiser of a window: equal windows share it, so a
 passage only needs the automaton of its own minimiser. Only passages whose minimiser two documents have take part
-(`anchors`). Equal passages in a batch of documents are one reference row. An automaton holds a bounded number of
-passages; those of a minimiser beyond that are compared as single windows by an aggregate, exact too. The automaton of
-a minimiser is small and is used only where its passages are, so it is built there instead of being broadcast.
+(`anchors`). Passages are named by 128 bits of a digest of their words; equal ones in a batch of documents are one
+reference row. The automaton of a minimiser is small and is used only where its passages are, so it is built there
+instead of being broadcast.
+
+A minimiser within words that very many documents have (a line, a license) stands for as many passages, each with other
+words around it. They would all meet in one task. Where a minimiser has more than PASSAGES rows, its windows are named one by one,
+by digests too, and summed up by an aggregate, which spreads over all tasks: the same ids, another way.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bit_table, in_table, repeated
-from .base import WorkTable, Words, documents_of, materialize, partitions, run_hash, short_batches, slices
+from .base import WorkTable, Words, digests, documents_of, partitions, short_batches, slices
 
 WINDOW, GRAM = 13, 5
-#: Passages of one minimiser that an automaton holds at most.
-PASSAGES = 4096
+#: Rows of one minimiser that go to an automaton; of one with more, each window is a row of its own.
+PASSAGES = 2000
 
 
 class SuffixAutomaton:
@@ -99,87 +103,87 @@ class SuffixAutomaton:
         return out
 
 
-def _passages(rows: DataFrame, table, window: int, k: int) -> WorkTable:
-    """(h, cid, doc, first, text): the passages of minimisers in the table. text is null where the batch has the passage
-    already."""
+_PASSAGE = "x long, y long, doc long, first long, h long, text string"
+
+
+def _passages(rows: DataFrame, table, crowded, window: int, k: int) -> WorkTable:
+    """Of minimisers in the table: passages by their digest (x, y), the document and the place of the first word; h and text
+    are null where the batch has the passage already. Of crowded minimisers, each window, with h null and the text empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column(1))
                 _, h, lo, hi = w.anchors(window, k)
-                use = in_table(bits, h)
-                h, lo, hi = h[use], lo[use], hi[use] + window
+                use = in_table(table.value, h)
+                h, lo, hi = h[use], lo[use], hi[use]
                 if not len(h):
                     continue
-                cid = run_hash(w.hash, lo, hi)
-                doc = np.asarray(part.column(0))[w.of[lo]]
-                order = np.lexsort((doc, cid, h))
+                singly = in_table(crowded.value, h)
+                times = np.where(singly, hi - lo + 1, 1)
+                of = np.repeat(np.arange(len(h)), times)
+                begin = lo[of] + np.arange(len(of)) - (np.cumsum(times) - times)[of]
+                singly, h = singly[of], h[of]
+                stop = np.where(singly, begin, hi[of]) + window
+                data, at = w.joined()
+                words = [data[i:j] for i, j in zip(at[begin].tolist(), (at[stop] - 1).tolist(), strict=True)]
+                name = digests(words)
+                doc = np.asarray(part.column(0))[w.of[begin]]
+                order = np.lexsort((doc, name[:, 1], name[:, 0]))
                 new = np.ones(len(h), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (cid[order][1:] != cid[order][:-1])
-                text = np.full(len(h), None, object)
-                data = w.data.tobytes()
-                for i in order[new].tolist():
-                    text[i] = data[w.start[lo[i]] : w.end[hi[i] - 1]]
+                new[1:] = (name[order][1:] != name[order][:-1]).any(axis=1)
+                told = np.zeros(len(h), bool)
+                told[order[new]] = True
+                text = [("" if s else x.decode()) if t else None for x, t, s in zip(words, told.tolist(), singly.tolist(), strict=True)]
                 yield pa.record_batch(
-                    [pa.array(h.view(np.int64)), pa.array(cid.view(np.int64)), pa.array(doc), pa.array(lo - w.first[w.of[lo]]), pa.array(text, pa.binary()).cast(pa.string())],
-                    names=["h", "cid", "doc", "first", "text"],
+                    [pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(doc), pa.array(begin - w.first[w.of[begin]]), pa.array(h.view(np.int64), mask=~told | singly), pa.array(text, pa.string())],
+                    names=["x", "y", "doc", "first", "h", "text"],
                 )
 
-    return WorkTable(rows.mapInArrow(run, "h long, cid long, doc long, first long, text string"), "passages")
+    return WorkTable(rows.mapInArrow(run, _PASSAGE), "passages")
 
 
-def _least(window: int, most: int):
-    """Of rows (h, cid, text, least) sorted by h: for each passage the smallest id of each of its windows, or those
-    windows one by one where a minimiser has too many passages."""
-    schema = pa.schema([("h", pa.int64()), ("cid", pa.int64()), ("ids", pa.list_(pa.int64())), ("place", pa.int32()), ("win", pa.string()), ("least", pa.int64())])
+def _least(window: int):
+    """Of rows (h, x, y, text, least) sorted by h: for each passage the smallest id of each of its windows."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
 
-        def finish(h: int, found: dict) -> None:
-            """found: by cid, words and smallest id."""
+        def finish(found: dict) -> None:
+            """found: by digest, words and smallest id."""
             if len(found) == 1:
-                ((cid, (words, least)),) = found.items()
-                out.append((h, cid, [least] * (len(words) - window + 1), None, None, None))
+                ((name, (text, least)),) = found.items()
+                out.append((*name, [least] * (text.count(" ") + 2 - window)))
             else:
                 a = SuffixAutomaton()
-                for words, least in found.values():
+                parted = {name: (text.split(" "), least) for name, (text, least) in found.items()}
+                for words, least in parted.values():
                     a.add(words, least)
                 a.close()
-                out.extend((h, cid, a.windows(words, window), None, None, None) for cid, (words, _) in found.items())
-
-        def singly(h: int, found: dict) -> None:
-            for cid, (words, least) in found.items():
-                out.extend((h, cid, None, i, " ".join(words[i : i + window]), least) for i in range(len(words) - window + 1))
+                out.extend((*name, a.windows(words, window)) for name, (words, _) in parted.items())
 
         def batch_of() -> pa.RecordBatch:
             b = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
             out.clear()
             return b
 
-        h, found, over = None, {}, False
+        h, found = None, {}
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("h", "cid", "text", "least")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("h", "x", "y", "text", "least")), strict=True)
             for key, group in groupby(rows, key=lambda r: r[0]):
                 if key != h:
-                    (singly if over else finish)(h, found) if found else None
-                    h, found, over = key, {}, False
-                for _, cid, text, least in group:
-                    had = found.get(cid)
-                    if had is None:
-                        # as bytes.split(), which parts at the same characters as the words here
-                        found[cid] = (tuple(x.decode() for x in text.encode().split()), least)
-                        if len(found) > most:
-                            singly(h, found)
-                            found, over = {}, True
-                    elif least < had[1]:
-                        found[cid] = (had[0], least)
+                    if found:
+                        finish(found)
+                    h, found = key, {}
+                for _, x, y, text, least in group:
+                    had = found.get((x, y))
+                    if had is None or least < had[1]:
+                        found[x, y] = (text, least)
                 if len(out) >= 5000:
                     yield batch_of()
         if found:
-            (singly if over else finish)(h, found)
+            finish(found)
         if out:
             yield batch_of()
 
@@ -189,16 +193,14 @@ def _least(window: int, most: int):
 def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = PASSAGES) -> DataFrame:
     """doc and starts: the places (sorted) of the windows that also start in a document with a smaller id."""
     spark = docs.sparkSession
-    table = bit_table(repeated(docs, window, gram))
-    passages = _passages(docs, table, window, gram).read()
+    anchors = WorkTable(repeated(docs, window, gram), "anchors").read()
+    passages = _passages(docs, bit_table(anchors), bit_table(anchors.where(F.col("n") > most)), window, gram).read()
     # the row of a batch that has a passage's text has the smallest id of the batch too
-    refs = passages.where("text IS NOT NULL").select("h", "cid", F.col("doc").alias("least"), "text").repartition(partitions(spark), "h").sortWithinPartitions("h")
-    found = WorkTable(refs.mapInArrow(_least(window, most), "h long, cid long, ids array<long>, place int, win string, least long"), "least").read()
-    single = found.where("win IS NOT NULL")
-    by_win = materialize(single.groupBy("h", "win").agg(F.min("least").alias("all")), "windows")
-    listed = single.join(by_win, ["h", "win"]).groupBy("cid").agg(F.array_sort(F.collect_set(F.struct("place", "all"))).alias("x")).select("cid", F.col("x.all").alias("ids"))
-    ids = found.where("ids IS NOT NULL").select("cid", "ids").unionByName(listed)
-    hit = passages.select("cid", "doc", "first").join(ids, "cid").where(F.array_min("ids") < F.col("doc"))
+    refs = passages.where("h IS NOT NULL").select("h", "x", "y", F.col("doc").alias("least"), "text").repartition(partitions(spark), "h").sortWithinPartitions("h")
+    by_passage = refs.mapInArrow(_least(window), "x long, y long, ids array<long>")
+    by_window = passages.where("text = ''").groupBy("x", "y").agg(F.min("doc").alias("least")).select("x", "y", F.array("least").alias("ids"))
+    ids = WorkTable(by_passage.unionByName(by_window), "least").read()
+    hit = passages.select("x", "y", "doc", "first").join(ids, ["x", "y"]).where(F.array_min("ids") < F.col("doc"))
     starts = F.expr("filter(transform(ids, (x, i) -> IF(x < doc, first + i, NULL)), x -> x IS NOT NULL)")
     return hit.select("doc", starts.alias("starts")).groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
@@ -217,6 +219,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Each document (`id_col`) with n_words, n_removed, kept (the words that stay, joined by one blank) and kept_sha256.
 
     Null and empty texts have no words; texts with fewer words than a window keep all. Windows are judged on the input.
+    An empty table gives an empty result.
     Rows without an id get no row, rows that repeat an id count as one document, other columns play no part.
     """
     short_batches(docs.sparkSession)

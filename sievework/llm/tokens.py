@@ -3,8 +3,9 @@
 Both vocabularies used here part a text into words by a pattern and encode each word by itself, so the ids of a text are
 those of its words. Texts of ASCII and Latin letters (where the pattern is spelled out below) are parted here, each
 distinct word is encoded by the library once, and its ids are remembered; all other texts go to the library whole. Texts in
-an Arrow array are parted and looked up together, by hashes of their words, with nothing per word in Python but for the
-distinct words of some hundred texts.
+an Arrow array are parted and looked up together, with nothing per word in Python but for the distinct words of some
+hundred texts. A word of up to 16 bytes is told by its bytes (its first and last eight) and its length, a longer one by all
+of it; texts with a word over LONGEST bytes, or with one whose hash another word has, go to the library.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from .base import run_hash
+from .base import _KEEP, mix
 
 #: Distinct words whose ids a worker remembers.
 CACHE = 900_000
+#: Bytes of a word that is remembered.
+LONGEST = 256
 #: Characters whose class is the same in all versions of Unicode: ASCII without U+001C to U+001F, and Latin letters up to
 #: U+024F (U+0130 excepted, whose lower case is two characters).
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7eÀ-ÖØ-öø-įı-ɏ]*")
@@ -112,18 +115,18 @@ class ArrayEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[int | bytes, int] = {}  # short words by their hashes, long ones as they are
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.entry = np.zeros((1 << 16, 3), np.int64)  # where a word's ids begin, how many, the word's bytes
-        self.prefix = np.zeros(1 << 16, np.uint64)  # its first eight bytes
+        self.lanes = np.zeros((1 << 16, 2), np.uint64)  # its first and last eight bytes
 
-    def _add(self, hashes: list[int], words: list[str], size: np.ndarray, prefixes: np.ndarray) -> None:
+    def _add(self, keys: list[int | bytes], words: list[str], size: np.ndarray, lanes: np.ndarray) -> None:
         """Remembers the words' ids. Words that end in letters are encoded many at once, with a character between that parts
         them; the few others one by one."""
         first, n = len(self.known), len(words)
         while first + n > len(self.entry):
             self.entry = np.concatenate([self.entry, np.zeros_like(self.entry)])
-            self.prefix = np.concatenate([self.prefix, np.zeros_like(self.prefix)])
+            self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
         plain = [i for i, w in enumerate(words) if w[-1].isalpha()] if self.slow.pattern else []
         other = sorted(set(range(n)) - set(plain))
         order, parts, counts = [*plain, *other], [], []
@@ -146,9 +149,9 @@ class ArrayEncoder:
         rows = np.stack([self.used + np.cumsum(count) - count, count], 1)
         self.entry[first + np.array(order), :2] = rows
         self.entry[first : first + n, 2] = size
-        self.prefix[first : first + n] = prefixes
+        self.lanes[first : first + n] = lanes
         self.used += len(flat)
-        self.known.update(zip(hashes, range(first, first + n), strict=True))
+        self.known.update(zip(keys, range(first, first + n), strict=True))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null as the empty text."""
@@ -190,9 +193,10 @@ class ArrayEncoder:
         if self.word:
             keep = ~blank[start]
             start, end = start[keep], end[keep]
-        whole = np.flatnonzero(np.add.reduceat(np.append(odd[:size], False), np.minimum(at[:-1], size)) * (np.diff(at) > 0))
         first = np.searchsorted(start, at)
-        found = self._look_up(b, start, end)
+        found, unsure = self._look_up(b, start, end)
+        odd[start[unsure]] = True
+        whole = np.flatnonzero(np.add.reduceat(np.append(odd[:size], False), np.minimum(at[:-1], size)) * (np.diff(at) > 0))
         cum = np.append(0, np.cumsum(self.entry[found, 1]))
         lengths = self.entry[found, 1]
         flat = self.ids[np.repeat(self.entry[found, 0] - cum[:-1], lengths) + np.arange(cum[-1])]
@@ -201,36 +205,40 @@ class ArrayEncoder:
             out[i] = ids
         return out
 
-    def _look_up(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The entry of each word."""
-        hashes = run_hash(b.astype(np.uint64) + np.uint64(1), start, end)
+    def _look_up(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entry of each word, and the places of words that have none of their own."""
+        size = end - start
+        lane = np.ndarray(len(b) - 7, "<u8", b, strides=(1,))
+        lanes = np.stack([lane[start] & _KEEP[np.minimum(size, 8)], np.where(size > 8, lane[np.maximum(end - 8, 0)], np.uint64(0))], 1)
+        hashes = mix(lanes[:, 0] ^ mix(lanes[:, 1] + size.astype(np.uint64)))
+        hashes[size > 16] = 0
         uniq, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        s, e = start[one], end[one]
-        prefix = np.zeros(len(s), np.uint64)
-        for j in range(8):
-            prefix |= np.where(s + j < e, b[np.minimum(s + j, len(b) - 1)], 0).astype(np.uint64) << np.uint64(8 * j)
-        keys = uniq.tolist()
+        long = np.flatnonzero((size > 16) & (size <= LONGEST))
+        data = b.tobytes()
+        long_words = [data[x:y] for x, y in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        at = dict(zip(long_words, long.tolist(), strict=True))
+        keys = [*uniq.tolist(), *at]
+        one = np.concatenate([one, np.fromiter(at.values(), np.int64, len(at))])
         got = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
         if (got < 0).sum() + len(self.known) > CACHE:
             self._forget()
             got[:] = -1
-        miss = np.flatnonzero(got < 0)
+        miss = np.flatnonzero((got < 0) & ((size[one] <= 16) | (np.arange(len(one)) >= len(uniq))))
+        got[got < 0] = 0
         if len(miss):
-            data = b.tobytes()
             # a text that isn't for the short way may have words here that are no whole characters; nothing reads them
-            words = [_text(data[x:y]) for x, y in zip(s[miss].tolist(), e[miss].tolist(), strict=True)]
+            words = [_text(data[x:y]) for x, y in zip(start[one[miss]].tolist(), end[one[miss]].tolist(), strict=True)]
             if None in words:
-                keep = np.array([w is not None for w in words])
-                miss, words = miss[keep], [w for w in words if w is not None]
-            got[got < 0] = 0
+                miss, words = miss[[w is not None for w in words]], [w for w in words if w is not None]
             if words:
                 known = len(self.known)
-                self._add([keys[i] for i in miss.tolist()], words, (e - s)[miss], prefix[miss])
+                self._add([keys[i] for i in miss.tolist()], words, size[one[miss]], lanes[one[miss]])
                 got[miss] = known + np.arange(len(words))
-        same = (self.prefix[got] == prefix) & (self.entry[got, 2] == e - s)
-        if not same.all() and any(_text(b[x:y].tobytes()) is not None for x, y in zip(s[~same], e[~same], strict=True)):
-            raise RuntimeError("two words have one hash")
-        return got[inverse]
+        found = got[inverse]
+        if len(long):
+            found[long] = [self.known.get(w, 0) for w in long_words]
+        same = (size <= LONGEST) & (self.entry[found, 2] == size) & (self.lanes[found] == lanes).all(axis=1)
+        return found, np.flatnonzero(~same)
 
 
 def _text(w: bytes) -> str | None:
