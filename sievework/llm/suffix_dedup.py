@@ -1,16 +1,19 @@
-"""Repeated passages: windows of 50 words that another place has too, found at minimisers and told by sorting.
-
-Any 50 words that repeat have the same minimiser at the same place, so only windows whose minimiser is found twice take
-part. A minimiser stands for a few consecutive windows, together its passage. Where all its places have the same passage
-(copies), the passage is one row; where they differ, each window is a row of its own. Rows are sorted by (minimiser, hash,
-document, place): a run of two or more is a repeated passage, whatever stands to the left or right of it and however many
-others share the minimiser. Nothing is capped.
-
-The sort is dealt by range over all four, so a passage that a third of all rows share is spread over many tasks. Runs at
-the borders between tasks, and very long ones, are summed up by an aggregate: two keys a task and one for each LONG rows
-at most, which are broadcast to the rows of those runs.
-
-Windows are told apart by two hashes of 64 bits (of the minimiser's words, and of all words), not by their texts.
+"""Repeated passages by a sparse suffix array.
+
+Suffixes are kept at content-selected places only: the minimisers of windows of 50 words. Any 50 words that repeat have the
+same minimiser at the same place, so both places' suffixes are kept. Rows are sorted by (minimiser, words from it on); next to
+each other stand those with the longest common beginnings. Where the common beginning of neighbours (LCP, in words) falls
+below d, rows part into intervals whose first d words are equal. A match is then extended to the left: a window that begins o
+words before its minimiser is equal to another one if both are in one interval at d = 50 - o and the o words before are
+equal, word by word. All rows of an interval are compared with one another by sorting, so none is lost, however many share
+its beginning. Words are told by their bytes.
+
+Only minimisers found twice take part. Where all places of a minimiser have the same passage (copies), suffixes tell nothing
+more: the passage is one row, named by 128 bits of a digest of its words. So are the windows of minimisers that reach into
+another task (two a task at most, as rows are dealt by range over (minimiser, words, document, place)) or have more than LONG
+rows: a line that a third of all rows have, with other words around it, spreads over many tasks that way. Rows of one name are
+found by sorting (name, document, place); names at the borders between tasks, and very long runs of one, are summed up by
+an aggregate: two keys a task and one for each LONG rows at most, which are broadcast to the rows of those runs.
 """
 
 from __future__ import annotations
@@ -23,14 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bit_table, in_table
-from .base import WorkTable, Words, documents_of, partitions, run_hash, short_batches, slices
+from .base import WorkTable, Words, digests, documents_of, partitions, short_batches, slices
 
 WORDS, GRAM = 50, 8
-#: Rows of one run that a task holds at most; a longer one is left to the aggregate.
-LONG = 200_000
+#: Rows of one minimiser, or of one passage, that a task compares at once; one with more is left to the names and the aggregate.
+LONG = 100_000
+#: Rows of suffixes that a task gathers before it compares them (whole minimisers).
+TOGETHER = 20_000
 
-_PLACE = "h long, key long, doc long, pos long, n long"
-_FOUND = "doc long, begin long, stop long, gone_begin long, gone_stop long, other long, h long, key long, n long"
+#: A place: either a named passage of n windows from word pos on (x, y: its digest), or a suffix from word pos on (after: its
+#: words, before: those before it that a window may have, n: of them, the windows begin most to least words before it).
+_PLACE = "h long, x long, y long, doc long, pos long, n long, after string, before string, least long, most long"
+_FOUND = "doc long, begin long, stop long, gone_begin long, gone_stop long, other long, h long, x long, y long, n long"
 
 
 def _minimisers(rows: DataFrame, words: int, gram: int) -> DataFrame:
@@ -43,59 +50,67 @@ def _minimisers(rows: DataFrame, words: int, gram: int) -> DataFrame:
                 _, h, lo, hi = w.anchors(words, gram)
                 if not len(h):
                     continue
-                cid = run_hash(w.hash, lo, hi + words).view(np.int64)
+                data, at = w.joined()
+                name = digests([data[i:j] for i, j in zip(at[lo].tolist(), at[hi + words].tolist(), strict=True)])
                 order = np.argsort(h, kind="stable")
-                h, cid = h[order], cid[order]
+                h, name = h[order], name[order]
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                low, high = np.minimum.reduceat(name, new), np.maximum.reduceat(name, new)
                 yield pa.record_batch(
-                    [pa.array(h[new].view(np.int64)), pa.array(np.minimum.reduceat(cid, new)), pa.array(np.maximum.reduceat(cid, new)), pa.array(np.diff(np.append(new, len(h))))],
-                    names=["h", "low", "high", "n"],
+                    [pa.array(h[new].view(np.int64)), *(pa.array(c[:, i]) for i in (0, 1) for c in (low, high)), pa.array(np.diff(np.append(new, len(h))))],
+                    names=["h", "low_x", "high_x", "low_y", "high_y", "n"],
                 )
 
-    found = rows.mapInArrow(run, "h long, low long, high long, n long").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    return found.where("n > 1").select("h", (F.col("low") < F.col("high")).alias("mixed"))
+    found = rows.mapInArrow(run, "h long, low_x long, high_x long, low_y long, high_y long, n long")
+    found = found.groupBy("h").agg(*(F.min(f"low_{c}").alias(f"low_{c}") for c in "xy"), *(F.max(f"high_{c}").alias(f"high_{c}") for c in "xy"), F.sum("n").alias("n"))
+    return found.where("n > 1").select("h", F.expr("low_x < high_x OR low_y < high_y").alias("mixed"))
 
 
 def _places(rows: DataFrame, table, mixed, words: int, gram: int) -> DataFrame:
-    """Of minimisers in the table: passages (n windows from word pos of doc, key: a hash of their words), or one row a window
-    where the minimiser is in `mixed`."""
+    """The places of minimisers in the table: suffixes of those in `mixed`, named passages of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column(1))
-                _, h, lo, hi = w.anchors(words, gram)
+                spot, h, lo, hi = w.anchors(words, gram)
                 use = in_table(table.value, h)
-                h, lo, hi = h[use], lo[use], hi[use]
+                spot, h, lo, hi = spot[use], h[use], lo[use], hi[use]
                 if not len(h):
                     continue
-                one = in_table(mixed.value, h)
-                times = np.where(one, hi - lo + 1, 1)
-                first = np.cumsum(times) - times
-                of = np.repeat(np.arange(len(h)), times)
-                begin = lo[of] + np.arange(len(of)) - first[of]
-                n = np.where(one, 1, hi - lo + 1)[of]
-                key = run_hash(w.hash, begin, begin + n + (words - 1))
-                text = w.of[begin]
-                yield pa.record_batch(
-                    [pa.array(h[of].view(np.int64)), pa.array(key.view(np.int64)), pa.array(np.asarray(part.column(0))[text]), pa.array(begin - w.first[text]), pa.array(n)],
-                    names=["h", "key", "doc", "pos", "n"],
-                )
+                data, at = w.joined()
+                text = w.of[lo]
+                ids, first = np.asarray(part.column(0))[text], w.first[text]
+                differ = in_table(mixed.value, h)
+                i = np.flatnonzero(differ)
+                after = [data[a:b].decode() for a, b in zip(at[spot[i]].tolist(), at[hi[i] + words].tolist(), strict=True)]
+                before = [data[a:b].decode() for a, b in zip(at[lo[i]].tolist(), at[spot[i]].tolist(), strict=True)]
+                yield _rows(h=h[i], doc=ids[i], pos=spot[i] - first[i], n=hi[i] - lo[i] + 1, after=after, before=before, least=spot[i] - hi[i], most=spot[i] - lo[i])
+                i = np.flatnonzero(~differ)
+                name = digests([data[a:b] for a, b in zip(at[lo[i]].tolist(), at[hi[i] + words].tolist(), strict=True)])
+                yield _rows(h=h[i], x=name[:, 0], y=name[:, 1], doc=ids[i], pos=lo[i] - first[i], n=hi[i] - lo[i] + 1)
 
     return rows.mapInArrow(run, _PLACE)
 
 
+_SCHEMA = [(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in _PLACE.split(", ")]
 _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 _NONE = np.iinfo(np.int64).max
 
 
+def _rows(**columns) -> pa.RecordBatch:
+    n = len(columns["doc"])
+    columns["h"] = columns["h"].view(np.int64)
+    return pa.record_batch([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _SCHEMA], names=[c for c, _ in _SCHEMA])
+
+
 def _found(*columns) -> pa.RecordBatch:
     size = next(len(c) for c in columns if c is not None)
     return pa.record_batch([pa.nulls(size, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
 
-def _as_they_are(h, key, doc, pos, n) -> pa.RecordBatch:
-    return _found(doc, pos, None, None, None, None, h, key, n)
+def _as_they_are(h, x, y, doc, pos, n) -> pa.RecordBatch:
+    return _found(doc, pos, None, None, None, None, h, x, y, n)
 
 
 def _together(doc, pos, n, gone, other, words: int) -> pa.RecordBatch:
@@ -107,38 +122,158 @@ def _together(doc, pos, n, gone, other, words: int) -> pa.RecordBatch:
     at = np.flatnonzero(head)
     stop = np.maximum.reduceat(stop, at)
     doc, pos, gone, other = doc[at], pos[at], gone[at], other[at]
-    return _found(doc, pos, stop, pos, np.where(gone, stop, pos), pa.array(other, pa.int64(), mask=other == _NONE), None, None, None)
+    return _found(doc, pos, stop, pos, np.where(gone, stop, pos), pa.array(other, pa.int64(), mask=other == _NONE), None, None, None, None)
+
+
+def _heads(*columns) -> np.ndarray:
+    """Where a new value of the columns begins."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _told_of_runs(new: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs (beginning at `new`) of equal windows, each sorted by (doc, pos): which rows have company; of those, if an earlier
+    one has the window (gone) and the smallest other document with it; and these rows."""
+    size = np.diff(np.append(new, len(doc)))
+    keep = np.repeat(size > 1, size)
+    doc, size = doc[keep], size[size > 1]
+    if not len(size):
+        return keep, np.zeros(0, bool), doc, pos[keep]
+    new = np.cumsum(size) - size
+    run = np.repeat(np.arange(len(size)), size)
+    least = doc[new]
+    second = np.minimum.reduceat(np.where(doc != least[run], doc, _NONE), new)
+    gone = np.ones(len(doc), bool)
+    gone[new] = False
+    return keep, gone, np.where(doc != least[run], least[run], second[run]), pos[keep]
+
+
+def common_beginnings(number: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """LCP: with how many words (`size` numbers from `first` on) each row begins like the one before it."""
+    n = len(first)
+    out = np.zeros(n, np.int64)
+    same = np.arange(1, n)
+    for d in range(int(size.max()) if n else 0):
+        same = same[(size[same] > d) & (size[same - 1] > d)]
+        same = same[number[first[same] + d] == number[first[same - 1] + d]]
+        if not len(same):
+            break
+        out[same] += 1
+    return out
+
+
+def suffix_windows(h, doc, pos, after: pa.Array, before: pa.Array, least, most, words: int) -> Iterator[pa.RecordBatch]:
+    """The windows that rows of suffixes, sorted by (h, after, doc, pos), have in common."""
+    n = len(h)
+    both = Words(pa.concat_arrays([after, before]))
+    number, at = both.numbers(), both.first
+    right, left = np.diff(at)[:n], np.diff(at)[n:]
+    lcp = common_beginnings(number, at[:n], right)
+    lcp[_heads(h)] = -1
+    # left: a name for the o words before each suffix, for each o in turn
+    back, ends = np.zeros(n, np.int64), at[n + 1 :]
+    for o in range(int(most.max()) + 1 if n else 0):
+        if o:
+            word = np.where(left >= o, number[np.maximum(ends - o, 0)], -1)
+            _, back = np.unique(back * (len(number) + 2) + word + 1, return_inverse=True)
+        i = np.flatnonzero((least <= o) & (o <= most))
+        if len(i) < 2:
+            continue
+        interval = np.cumsum(lcp < words - o)[i]
+        begin = pos[i] - o
+        order = np.lexsort((begin, doc[i], back[i], interval))
+        i, begin, interval = i[order], begin[order], interval[order]
+        keep, gone, other, begin = _told_of_runs(_heads(interval, back[i]), doc[i], begin)
+        if len(gone):
+            yield _together(doc[i][keep], begin, 1, gone, other, words)
+
+
+def _suffixes(words: int, longest: int, together: int):
+    """Of sorted suffixes: the windows that others have too, as in `repeated_passages`, and as named windows those of the
+    minimisers that another task may have, or that have too many rows."""
+
+    def named(rows: list) -> Iterator[pa.RecordBatch]:
+        h, doc, pos, after, before, least, most = rows
+        for i in range(0, len(h), 2000):
+            part = [c[i : i + 2000] for c in rows]
+            h, doc, pos, after, before, least, most = part
+            w = Words(pa.array([a + b for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True)], pa.string()))
+            data, at = w.joined()
+            times = most - least + 1
+            of = np.repeat(np.arange(len(h)), times)
+            begin = np.arange(len(of)) - (np.cumsum(times) - times)[of]  # counted from the earliest
+            a, b = at[w.first[of] + begin], at[w.first[of] + begin + words]
+            name = digests([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            yield _as_they_are(h[of], name[:, 0], name[:, 1], doc[of], (pos - most)[of] + begin, np.ones(len(of), np.int64))
+
+    def whole(rows: list) -> Iterator[pa.RecordBatch]:
+        out = list(suffix_windows(*rows, words))
+        if out:
+            t = pa.Table.from_batches(out).combine_chunks()
+            doc, begin, stop, gone = (t.column(c).to_numpy() for c in ("doc", "begin", "stop", "gone_stop"))
+            other = t.column("other").fill_null(_NONE).to_numpy()
+            yield _together(doc, begin, stop - begin - (words - 1), gone > begin, other, words)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []
+        count, first, over = 0, None, None  # first: the task's first minimiser; over: one that has had too many rows
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i) if i in (3, 4) else batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            count += batch.num_rows
+            first = held[0][0][0] if first is None else first
+            if count < together:
+                continue
+            rows = [pa.concat_arrays(c) if i in (3, 4) else np.concatenate(c) for i, c in enumerate(zip(*held, strict=True))]
+            h = rows[0]
+            cut = int(np.searchsorted(h, h[-1]))
+            a = int(np.searchsorted(h, first if over is None else over, "right"))
+            a = a if h[0] in (first, over) else 0
+            yield from named([c[: min(a, cut)] for c in rows])
+            if cut > a:
+                yield from whole([c[a:cut] for c in rows])
+            rows = [c[cut:] for c in rows]
+            if len(rows[0]) >= longest or rows[0][0] in (first, over):
+                over = rows[0][0]
+                yield from named(rows)
+                held, count = [], 0
+            else:
+                held, count = [rows], len(rows[0])
+        if count:
+            rows = [pa.concat_arrays(c) if i in (3, 4) else np.concatenate(c) for i, c in enumerate(zip(*held, strict=True))]
+            h = rows[0]
+            cut = int(np.searchsorted(h, h[-1]))
+            a = min(cut, max((int(np.searchsorted(h, x, "right")) for x in (first, over) if x is not None and h[0] == x), default=0))
+            yield from named([c[:a] for c in rows])
+            if cut > a:
+                yield from whole([c[a:cut] for c in rows])
+            yield from named([c[cut:] for c in rows])
 
-def _heads(h, key) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1])]))
+    return task
 
 
 def _runs(words: int, longest: int):
-    """Of sorted places: what other places have too, as in `repeated_passages`. Places of runs that may go on in another task,
+    """Of sorted named places: what other places have too, as in `repeated_passages`. Places of runs that may go on in another task,
     and of very long ones, come as they are, with h."""
+
     def whole(rows: list[np.ndarray], first: bool) -> Iterator[pa.RecordBatch]:
         """Complete runs; the first of the task may be incomplete."""
-        h, key = rows[:2]
-        new = _heads(h, key)
+        new = _heads(*rows[:3])
         if first:
-            size = int(new[1]) if len(new) > 1 else len(h)
+            size = int(new[1]) if len(new) > 1 else len(rows[0])
             yield _as_they_are(*(x[:size] for x in rows))
             rows, new = [x[size:] for x in rows], new[1:] - size
-        size = np.diff(np.append(new, len(rows[0])))
-        keep = np.repeat(size > 1, size)
-        doc, pos, n = (x[keep] for x in rows[2:])
-        size = size[size > 1]
-        if not len(size):
-            return
-        new = np.cumsum(size) - size
-        run = np.repeat(np.arange(len(size)), size)
-        least = doc[new]
-        second = np.minimum.reduceat(np.where(doc != least[run], doc, _NONE), new)
-        other = np.where(doc != least[run], least[run], second[run])
-        gone = np.ones(len(doc), bool)
-        gone[new] = False
-        yield _together(doc, pos, n, gone, other, words)
+        keep, gone, other, pos = _told_of_runs(new, rows[3], rows[4])
+        if len(gone):
+            yield _together(rows[3][keep], pos, rows[5][keep], gone, other, words)
+
+    def last_run(rows: list[np.ndarray]) -> int:
+        cut = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in rows[:3]]))
+        return int(cut[-1]) + 1 if len(cut) else 0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -146,13 +281,12 @@ def _runs(words: int, longest: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
             count += batch.num_rows
             if count < longest:  # so many at a time, that windows of one passage are met together
                 continue
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            cut = int(cut[-1]) + 1 if len(cut) else 0
+            cut = last_run(rows)
             if cut:
                 yield from whole([x[:cut] for x in rows], first)
                 first = False
@@ -163,8 +297,7 @@ def _runs(words: int, longest: int):
                 held, count, first = [[x[-1:] for x in held[0]]], 1, True
         if count:
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
-            cut = int(cut[-1]) + 1 if len(cut) else 0
+            cut = last_run(rows)
             if cut:
                 yield from whole([x[:cut] for x in rows], first)
             yield _as_they_are(*(x[cut:] for x in rows))
@@ -173,58 +306,62 @@ def _runs(words: int, longest: int):
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each run in a batch of places (h, key, doc, pos): its first and last place, and its second document."""
+    """Of each run in a batch of places (x, y, doc, pos): its first and last place, and its second document."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, key, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        order = np.lexsort((pos, doc, key, h))
-        h, key, doc, pos = h[order], key[order], doc[order], pos[order]
-        new = _heads(h, key)
-        size = np.diff(np.append(new, len(h)))
+        x, y, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        order = np.lexsort((pos, doc, y, x))
+        x, y, doc, pos = x[order], y[order], doc[order], pos[order]
+        new = _heads(x, y)
+        size = np.diff(np.append(new, len(x)))
         last = new + size - 1
         second = np.minimum.reduceat(np.where(doc != np.repeat(doc[new], size), doc, _NONE), new)
-        yield pa.record_batch([pa.array(x) for x in (h[new], key[new], doc[new], pos[new], doc[last], pos[last], second)], names=["h", "key", "doc", "pos", "last_doc", "last_pos", "second"])
+        yield pa.record_batch([pa.array(c) for c in (x[new], y[new], doc[new], pos[new], doc[last], pos[last], second)], names=["x", "y", "doc", "pos", "last_doc", "last_pos", "second"])
 
 
 def _told(least, words: int):
-    """As `_runs`, of places (h, key, doc, pos, n) whose runs' first place and second document are known."""
+    """As `_runs`, of places (x, y, doc, pos, n) whose runs' first place and second document are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, key, doc, pos, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            new = _heads(h, key)
-            found = [least.value.get(x) for x in zip(h[new].tolist(), key[new].tolist(), strict=True)]
-            size = np.diff(np.append(new, len(h)))
-            keep = np.repeat([x is not None for x in found], size)
+            x, y, doc, pos, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            new = _heads(x, y)
+            found = [least.value.get(k) for k in zip(x[new].tolist(), y[new].tolist(), strict=True)]
+            size = np.diff(np.append(new, len(x)))
+            keep = np.repeat([k is not None for k in found], size)
             if not keep.any():
                 continue
-            first, at, second = (np.repeat([x[i] if x else 0 for x in found], size)[keep] for i in range(3))
+            first, at, second = (np.repeat([k[i] if k else 0 for k in found], size)[keep] for i in range(3))
             doc, pos, n = doc[keep], pos[keep], n[keep]
             yield _together(doc, pos, n, (doc != first) | (pos != at), np.where(doc != first, first, second), words)
 
     return run
 
 
-def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, longest: int = LONG) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, longest: int = LONG, together: int = TOGETHER) -> DataFrame:
     """doc, begin, stop (words of it that another place has too), gone_begin, gone_stop (the part that an earlier document,
     or an earlier place of this one, has; empty if none) and other (the smallest other document with them)."""
     spark = docs.sparkSession
     h = WorkTable(_minimisers(docs, words, gram), "minimisers").read()
     places = WorkTable(_places(docs, bit_table(h.select("h")), bit_table(h.where("mixed").select("h")), words, gram), "places").read()
-    order = ["h", "key", "doc", "pos"]
-    met = WorkTable(places.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_runs(words, longest), _FOUND), "runs").read()
-    rest = met.where("h IS NOT NULL").select("h", "key", "doc", F.col("begin").alias("pos"), "n")
-    ends = WorkTable(rest.select("h", "key", "doc", "pos").mapInArrow(_ends, "h long, key long, doc long, pos long, last_doc long, last_pos long, second long"), "ends").read()
-    led = ends.groupBy("h", "key").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max(F.struct("last_doc", "last_pos")).alias("most")).where("least.doc <> most.last_doc OR least.pos <> most.last_pos")
+    order = ["h", "after", "doc", "pos"]
+    suffixes = places.where("after IS NOT NULL").select("h", "doc", "pos", "after", "before", "least", "most")
+    met = WorkTable(suffixes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_suffixes(words, longest, together), _FOUND), "suffixes").read()
+    order = ["h", "x", "y", "doc", "pos"]
+    named = places.where("x IS NOT NULL").select(*order, "n").unionByName(met.where("x IS NOT NULL").select("h", "x", "y", "doc", F.col("begin").alias("pos"), "n"))
+    runs = WorkTable(named.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_runs(words, longest), _FOUND), "runs").read()
+    rest = runs.where("x IS NOT NULL").select("x", "y", "doc", F.col("begin").alias("pos"), "n")
+    ends = WorkTable(rest.select("x", "y", "doc", "pos").mapInArrow(_ends, "x long, y long, doc long, pos long, last_doc long, last_pos long, second long"), "ends").read()
+    led = ends.groupBy("x", "y").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max(F.struct("last_doc", "last_pos")).alias("most")).where("least.doc <> most.last_doc OR least.pos <> most.last_pos")
     second = F.min(F.when(F.col("doc") == F.col("least.doc"), F.col("second")).otherwise(F.col("doc")))
     # two keys a task, one for each LONG rows
-    known = ends.join(F.broadcast(led), ["h", "key"]).groupBy("h", "key").agg(F.min("least").alias("least"), second.alias("second")).collect()
-    least = spark.sparkContext.broadcast({(r["h"], r["key"]): (r["least"]["doc"], r["least"]["pos"], r["second"]) for r in known})
+    known = ends.join(F.broadcast(led), ["x", "y"]).groupBy("x", "y").agg(F.min("least").alias("least"), second.alias("second")).collect()
+    least = spark.sparkContext.broadcast({(r["x"], r["y"]): (r["least"]["doc"], r["least"]["pos"], r["second"]) for r in known})
     across = rest.mapInArrow(_told(least, words), _FOUND)
-    return met.where("h IS NULL").unionByName(across).select("doc", "begin", "stop", "gone_begin", "gone_stop", "other")
+    return met.where("x IS NULL").unionByName(runs.where("x IS NULL")).unionByName(across).select("doc", "begin", "stop", "gone_begin", "gone_stop", "other")
 
 
 #: Sorted spans, those that overlap or touch as one.
@@ -257,8 +394,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the words in `gone` of `suffix_dedup` removed; a text that loses words has its words joined by one blank."""
-    gone = found.where("size(gone) > 0").select(F.col(id_col).alias("__id"), "gone")
+    gone = found.where("size(gone) > 0").select(F.col(id_col).alias("__id"), F.col("gone").alias("__gone"))
     w = f"regexp_extract_all({text_col}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
-    stay = F.expr(f"array_join(filter({w}, (x, i) -> NOT exists(gone, g -> i >= g.begin AND i < g.stop)), ' ')")
+    stay = F.expr(f"array_join(filter({w}, (x, i) -> NOT exists(__gone, g -> i >= g.begin AND i < g.stop)), ' ')")
     both = docs.join(gone, docs[id_col] == gone["__id"], "left")
-    return both.withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(stay)).drop("__id", "gone")
+    return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(stay)).drop("__id", "__gone")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -135,14 +136,17 @@ def test_suffix_dedup(spark, rows):
         w = _words(t)
         for k in range(len(w) - 49):
             places[" ".join(w[k : k + 50])].append((i, k))
-    cover = defaultdict(set)
-    for p in places.values():
-        if len(p) > 1:
-            for i, k in p:
-                cover[i].update(range(k, k + 50))
-    long = [i for i, t in rows if t and t.startswith("x x")]
-    assert {i: r.n_repeated for i, r in got.items() if i not in long} == {i: len(cover[i]) for i, _ in rows if i not in long}
-    assert all(r.n_words == len(_words(dict(rows)[i])) for i, r in got.items())
+    cover, gone, others = defaultdict(set), defaultdict(set), defaultdict(set)
+    for p in map(sorted, places.values()):
+        least, second = p[0], next((j for j, _ in p if j != p[0][0]), None)
+        for i, k in p if len(p) > 1 else []:
+            cover[i].update(range(k, k + 50))
+            gone[i].update(range(k, k + 50) if (i, k) > least else [])
+            others[i].update({second if i == least[0] else least[0]} - {None})
+    words_of = lambda spans: {k for s in spans for k in range(s.begin, s.stop)}
+    for i, r in got.items():
+        assert (words_of(r.spans), words_of(r.gone), set(r.others)) == (cover[i], gone[i], others[i])
+        assert (r.n_words, r.n_repeated, r.n_removed) == (len(_words(dict(rows)[i])), len(cover[i]), len(gone[i]))
 
 
 @pytest.mark.parametrize("longest", [suffix_dedup.LONG, 3])
@@ -154,7 +158,7 @@ def test_suffix_dedup_of_passages_that_end_alike(spark, longest, monkeypatch):
     heads = [text(36) for _ in range(250)]
     docs = [(i, f"{text(20)} {heads[i % 250]} {line} {text(40)}") for i in range(500)] + [(i, f"{text(30)} {line} {text(60)}") for i in range(500, 900)]
     docs += [(900, f"{heads[0]} {line} {text(9)} {heads[0]} {line}")]
-    monkeypatch.setattr(suffix_dedup.repeated_passages, "__defaults__", (50, 8, longest))
+    monkeypatch.setattr(suffix_dedup.repeated_passages, "__defaults__", (50, 8, longest, longest))
     got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     places = defaultdict(list)
     for i, t in docs:
@@ -162,11 +166,12 @@ def test_suffix_dedup_of_passages_that_end_alike(spark, longest, monkeypatch):
         for k in range(len(w) - 49):
             places[" ".join(w[k : k + 50])].append((i, k))
     cover, gone, others = defaultdict(set), defaultdict(set), defaultdict(set)
-    for p in places.values():
+    for p in map(sorted, places.values()):
+        least, second = p[0], next((j for j, _ in p if j != p[0][0]), None)
         for i, k in p if len(p) > 1 else []:
             cover[i].update(range(k, k + 50))
-            gone[i].update(range(k, k + 50) if (i, k) > min(p) else [])
-            others[i].update([j for j, _ in sorted(p) if j != i][:1])
+            gone[i].update(range(k, k + 50) if (i, k) > least else [])
+            others[i].update({second if i == least[0] else least[0]} - {None})
     words_of = lambda spans: {k for s in spans for k in range(s.begin, s.stop)}
     assert {i: (words_of(r.spans), words_of(r.gone), set(r.others)) for i, r in got.items()} == {i: (cover[i], gone[i], others[i]) for i, _ in docs}
 
@@ -257,7 +262,24 @@ def test_toxicity(spark):
     assert toxicity.toxicity(df, toxicity.fit(df, labels.where("false"))).count() == 402
 
 
+def _maximal(x, first=0):
+    """The definition: the segment of the highest score (the shortest, then the first), and those of what is left of it and right of it."""
+    best = max(((sum(x[i:j]), i - j, -i) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    i, j = -best[2], -best[2] - best[1]
+    return [*_maximal(x[:i], first), (first + i, first + j, best[0]), *_maximal(x[j:], first + j)]
+
+
 def test_maximal_segments():
+    rng = random.Random(3)
+    for _ in range(300):
+        y = [rng.choice([-7, -5, -3, -1, 2, 4, 8, 16]) + rng.random() for _ in range(rng.randint(0, 25))]
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(y, float))] == [(a, b) for a, b, _ in _maximal(y)]
+    begin = time.perf_counter()
+    for y in (np.tile([1.0, -2.0], 500_000), np.tile([2.0, -1.0], 500_000), np.random.default_rng(1).normal(-0.5, 1, 1_000_000)):
+        assert toxicity.segments(y)
+    assert time.perf_counter() - begin < 30
     x = np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5], float)
     assert [(a, b, s) for a, b, s in toxicity.segments(x)] == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
 
