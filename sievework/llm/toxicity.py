@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Spelling, WordValues, documents_of, mix, run_hash, short_batches, slices
+from .base import Spelling, WordValues, WorkTable, documents_of, mix, run_hash, short_batches, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -87,18 +87,20 @@ def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     if not len(up):
         return []
     total = np.concatenate([[0.0], np.cumsum(x)])
-    held: list[list] = []  # first, end, sum before, sum with it
-    for i in up.tolist():
-        held.append([i, i + 1, float(total[i]), float(total[i + 1])])
-        while True:
-            k = held[-1]
-            j = len(held) - 2
-            while j >= 0 and held[j][2] >= k[2]:
-                j -= 1
-            if j < 0 or held[j][3] >= k[3]:
-                break
-            held[j:] = [[held[j][0], k[1], held[j][2], k[3]]]
-    return [(a, b, r - l) for a, b, l, r in held]
+    # first, end, sum before, sum with it, and the place here of the last one with a smaller sum before it; following these
+    # places passes over each segment once at most, until it is merged
+    held: list[tuple[int, int, float, float, int]] = []
+    for i, low, high in zip(up.tolist(), total[up].tolist(), total[up + 1].tolist(), strict=True):
+        j = len(held) - 1
+        while j >= 0 and held[j][2] >= low:
+            j = held[j][4]
+        k = (i, i + 1, low, high, j)
+        while j >= 0 and held[j][3] < high:
+            k = (held[j][0], i + 1, held[j][2], high, held[j][4])
+            del held[j:]
+            j = k[4]
+        held.append(k)
+    return [(a, b, r - l) for a, b, l, r, _ in held]
 
 
 @dataclass
@@ -189,12 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["y", "n", "found", "kinds", "many"])
 
-    scored = rows.mapInArrow(score, "y int, n long, found array<double>, kinds array<double>, many array<long>").persist()
-    spread = scored.select(F.explode(F.arrays_zip("kinds", "many")).alias("x")).groupBy("x.kinds").agg(F.sum("x.many").alias("n")).collect()
-    # no more rows than the sample; of segments only the higher ones matter
-    best = scored.select("y", "n", F.slice(F.sort_array("found", asc=False), 1, 50).alias("found")).toArrow()
-    scored.unpersist()
-    if not len(best) or not spread:
+    # written once, so that whatever executor is lost, both readings see the same rows; no more rows than the sample
+    scored = WorkTable(rows.mapInArrow(score, "y int, n long, found array<double>, kinds array<double>, many array<long>"), "segments")
+    spread = scored.read().select(F.explode(F.arrays_zip("kinds", "many")).alias("x")).groupBy("x.kinds").agg(F.sum("x.many").alias("n")).collect()
+    best = scored.read().where("y = 0 AND n > 0 AND size(found) > 0").select("n", F.array_max("found").alias("best")).toArrow()
+    if not spread:
         return Model(counts, 1.0, 1.0, (0.0, 0.0, 0.0))
     value = np.array([r["kinds"] for r in spread])
     share = np.array([r["n"] for r in spread], float)
@@ -204,11 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         mid = (low + high) / 2
         low, high = (low, mid) if float((share * np.exp(mid * value)).sum()) > 1 else (mid, high)
     decay = low
-    y, n, found = best.column("y").to_numpy(), best.column("n").to_numpy(), best.column("found").to_pylist()
-    clean = [(max(f), m) for f, m, t in zip(found, n, y, strict=True) if not t and f and m]
+    clean = list(zip(best.column("best").to_pylist(), best.column("n").to_pylist(), strict=True))
     scale = max(1e-6, len(clean) / max(1e-9, sum(m * math.exp(-decay * s) for s, m in clean))) if clean else 1.0
     model = Model(counts, decay, scale, (0.0, 0.0, 0.0))
-    x = np.array([_features([model.surprise(s, int(m)) for s in f]) for f, m in zip(found, n, strict=True)])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [_features([model.surprise(s, n) for s in found]) for n, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array([a for a, _ in both], pa.float64()), pa.array([b for _, b in both], pa.float64())], names=["y", "best", "all"])
+
+    got = scored.read().select("y", "n", "found").mapInArrow(features, "y int, best double, all double").toArrow()
+    scored.drop()
+    x, y = np.column_stack([got.column("best").to_numpy(), got.column("all").to_numpy()]), got.column("y").to_numpy()
     model.weights = _logistic(x, y.astype(float))
     return model
 
