@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WorkTable, documents_of, materialize, partitions, short_batches
+from .base import WorkTable, digests, documents_of, materialize, mix, partitions, short_batches
 from .components import components
 
 #: A-Z as a-z, byte by byte.
@@ -186,13 +186,14 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 2, block
 
 #: Shingles of so many words and the least Jaccard similarity of two texts' sets of them.
 SHINGLE, SIMILARITY = 5, 0.8
-#: A wide fingerprint: so many blocks of so many bits, and 64 bits to compare.
-BLOCKS, BLOCK_BITS = 96, 20
-#: Shingles, by smallest hash, that the wide fingerprint of a longer text is made of; all of a shorter one's are.
-SAMPLE = 255
-#: Bits of the 64 that may differ: similar texts of 0.8 differ in 9.7 on average, with a deviation of 2.9.
-FAR = 20
-_WORDS = (BLOCKS * BLOCK_BITS + 64) // 64
+#: A wide fingerprint: so many blocks of so many bits, and 192 bits to compare.
+BLOCKS, BLOCK_BITS, SKETCH = 96, 20, 192
+#: Blocks are joined in turns of so many; pairs that earlier turns have put in one group aren't compared again.
+TURNS = (6, 30, 60)
+#: Bits of the 192 that may differ: similar texts of 0.8 differ in 29 on average, with a deviation of 5.
+FAR = 44
+_WORDS = -(-(BLOCKS * BLOCK_BITS + SKETCH) // 64)
+_SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 
 
 def _sign_words() -> list[np.ndarray]:
@@ -200,23 +201,23 @@ def _sign_words() -> list[np.ndarray]:
     return [rng.integers(0, 1 << 64, (4096, _WORDS), dtype=np.uint64) for _ in range(2)]
 
 
-def wide_fingerprint(shingles: np.ndarray, signs: list[np.ndarray]) -> tuple[np.ndarray, int]:
-    """The blocks and the 64 bits of a set of shingle hashes (distinct, one at least)."""
-    if len(shingles) > SAMPLE:
-        shingles = np.partition(shingles, SAMPLE)[:SAMPLE]
-    x = shingles * np.uint64(0x9E3779B97F4A7C15)
-    w = signs[0][x >> np.uint64(52)] ^ signs[1][(x >> np.uint64(40)) & np.uint64(4095)]
-    count = np.add.reduce(np.unpackbits(w.view(np.uint8).reshape(len(x), -1), axis=1), axis=0, dtype=np.uint8)
-    bits = count > len(x) // 2
-    blocks = bits[64:].reshape(BLOCKS, BLOCK_BITS) @ (1 << np.arange(BLOCK_BITS))
-    return blocks, int(np.packbits(bits[:64]).view(">u8")[0])
+def wide_fingerprint(shingles: np.ndarray, signs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks and the bits to compare (as numbers) of a set of shingle hashes (distinct, one at least). All shingles count."""
+    count, part = np.zeros(_WORDS * 64, np.int64), 255
+    for i in range(0, len(shingles), part):
+        x = shingles[i : i + part] * np.uint64(0x9E3779B97F4A7C15)
+        w = signs[0][x >> np.uint64(52)] ^ signs[1][(x >> np.uint64(40)) & np.uint64(4095)]
+        count += np.add.reduce(np.unpackbits(w.view(np.uint8).reshape(len(x), -1), axis=1), axis=0, dtype=np.uint8)
+    bits = count * 2 > len(shingles)
+    blocks = bits[SKETCH : SKETCH + BLOCKS * BLOCK_BITS].reshape(BLOCKS, BLOCK_BITS) @ (1 << np.arange(BLOCK_BITS))
+    return blocks, np.packbits(bits[:SKETCH]).view(">i8").astype(np.int64)
 
 
 def _wide(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = _sign_words()
         for batch in batches:
-            ids, sketch, blocks = [], [], []
+            ids, sketch, blocks, name = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = np.unique(shingle_hashes(text.as_py(), words))
                 if len(h):
@@ -224,63 +225,75 @@ def _wide(docs: DataFrame, words: int) -> DataFrame:
                     ids.append(doc)
                     sketch.append(s)
                     blocks.append(b.astype(np.int32))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.array(sketch, np.uint64).view(np.int64)), pa.array(blocks, pa.list_(pa.int32()))], names=["doc", "sketch", "blocks"])
+                    name.append(h.tobytes())
+            sketch, name = np.array(sketch, np.int64).reshape(-1, len(_SKETCH)), digests(name)
+            yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(c) for c in (*sketch.T, *name.T)), pa.array(blocks, pa.list_(pa.int32()))], names=["doc", *_SKETCH, "x", "y", "blocks"])
 
-    return docs.mapInArrow(run, "doc long, sketch long, blocks array<int>")
+    return docs.mapInArrow(run, "doc long, " + "".join(f"{c} long, " for c in _SKETCH) + "x long, y long, blocks array<int>")
 
 
-def _leaders(far: int, most: int, short: int = 16):
-    """Of rows (key, sketch, rep) sorted by key: in each run the first `most` rows lead all whose sketches are near one of
-    theirs, the first of the rest lead likewise, and so on. Leaders are paired with all rows of the run with near sketches:
-    a leads b, whose sketch is there too; `back` says that b has not been compared with all others. In a run of `short` rows
-    or fewer, all lead."""
-    names = ["key", "sketch", "a", "b", "back"]
+def _pairs(far: int, most: int, short: int = 16):
+    """Of rows (key, sketch, rep, grp) sorted by key: in each run the first `most` rows (in an order that differs from run to run)
+    lead all whose sketches are near one of theirs, the first of the rest lead likewise, and so on. Leaders are paired with all rows of the run with near sketches, but
+    for those of their own group: a leads b, whose sketch and group are there too; `back` says that b has not been compared
+    with all others. In a run of `short` rows or fewer, all lead."""
+    names = ["key", *_SKETCH, "grp", "a", "b", "back"]
 
-    def run_pairs(key: np.ndarray, sketch: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    def run_pairs(key, sketch, rep, grp) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(new, len(key)))
-        two = new[size == 2]
-        two = two[np.bitwise_count(sketch[two] ^ sketch[two + 1]) <= far]
-        a, b, back = [two], [two + 1], [np.zeros(len(two), bool)]
-        for start, n in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        # runs of one group have nothing to tell
+        several = np.minimum.reduceat(grp, new) != np.maximum.reduceat(grp, new)
+        near = lambda i, j: np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64) <= far
+        two = new[(size == 2) & several]
+        two = two[near(two, two + 1)]
+        a, b, back, count = [two], [two + 1], [np.zeros(len(two), bool)], len(two)
+        use = (size > 2) & several
+        for start, n in zip(new[use].tolist(), size[use].tolist(), strict=True):
             every = np.arange(start, start + n)
-            leads, i = np.zeros(n, bool), every
+            leads, i = np.zeros(n, bool), every[np.argsort(mix((rep[every] ^ key[every]).view(np.uint64)), kind="stable")]
             k = n if n <= short else most
             pairs = []
             while len(i):
                 stay = np.ones(n, bool)
                 for lead in i[:k].tolist():
                     leads[lead - start] = True
-                    near = np.bitwise_count(sketch[every] ^ sketch[lead]) <= far
-                    stay &= ~near
-                    near[lead - start] = False
-                    pairs.append((lead, every[near]))
+                    close = near(every, lead)
+                    stay &= ~close
+                    pairs.append((lead, every[close & (grp[every] != grp[lead])]))
                 i = i[k:]
                 i = i[stay[i - start]]
             for lead, follow in pairs:
-                follow = follow[~leads[follow - start] | (follow > lead)]  # two leaders are one pair
+                follow = follow[~leads[follow - start] | (follow > lead)]  # of two leaders one pair
                 a.append(np.full(len(follow), lead))
                 b.append(follow)
                 back.append(~leads[follow - start])
+                count += len(follow)
+            if count > 100_000:
+                yield out(a, b, back, key, sketch, grp, rep)
+                a, b, back, count = [], [], [], 0
+        if count:
+            yield out(a, b, back, key, sketch, grp, rep)
+
+    def out(a, b, back, key, sketch, grp, rep) -> pa.RecordBatch:
         a, b = np.concatenate(a), np.concatenate(b)
-        return pa.record_batch([pa.array(key[a]), pa.array(sketch[b].view(np.int64)), pa.array(rep[a]), pa.array(rep[b]), pa.array(np.concatenate(back))], names=names)
+        return pa.record_batch([pa.array(c) for c in (key[a], *np.ascontiguousarray(sketch[b].T).view(np.int64), grp[b], rep[a], rep[b], np.concatenate(back))], names=names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            key, *sketch, rep, grp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+            rows = [key, np.stack(sketch, 1).view(np.uint64), rep, grp]
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            same = rows[0] == rows[0][-1]
-            # a run that goes on is held; a very long one is done in parts, each with leaders of its own
-            cut = len(same) if same.all() and len(same) > 50_000 else len(same) - int(same[::-1].argmin() if not same.all() else len(same))
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # a run that goes on is held
             if cut:
-                yield run_pairs(rows[0][:cut], rows[1][:cut].view(np.uint64), rows[2][:cut])
+                yield from run_pairs(*(x[:cut] for x in rows))
             held = [x[cut:] for x in rows]
         if held is not None and len(held[0]):
-            yield run_pairs(held[0], held[1].view(np.uint64), held[2])
+            yield from run_pairs(*held)
 
     return task
 
@@ -304,12 +317,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     """id_col and component_id (the smallest id of its group) of each document that has a near-duplicate; others aren't in it.
 
     Two texts are near-duplicates if the Jaccard similarity of their sets of word shingles is at least `similarity`; groups
-    are the connected components. Wide SimHash fingerprints propose pairs: texts of similarity 0.8 agree in a given block of
-    20 bits with probability 0.037 and in one of 96 with 0.97; of 0.85 with 0.998. Rows are sorted by
-    block; in each run of equal blocks followers are paired with leaders, and pairs are checked by their whole sets. Followers
-    that no leader keeps are a run again, with twice as many leaders, until none is left: a group of near-duplicates costs
-    pairs in proportion to its size, texts that are somewhat similar up to all pairs of their run. Followers of one leader
-    are not compared with one another in that block, nor are the parts of a run that tasks part.
+    are the connected components. Texts with equal sets are one row. Wide SimHash fingerprints of all shingles propose pairs:
+    texts of similarity 0.8 agree in a given block of 20 bits with probability 0.037 and in one of 96 with 0.97; of 0.85 with
+    0.998. Rows are sorted by block; in each run of equal blocks, rows of different groups with near sketches are paired, and pairs
+    are checked by their whole sets. Blocks are joined in turns: what earlier turns have found to be one group isn't compared
+    again, so a large group of near-duplicates is found by some of its pairs. In a run of more than 16 rows followers are paired
+    with leaders; those that no leader keeps are a run again, with four times as many leaders, until none is left. Followers of one
+    leader are not compared with one another in that block, nor are the parts of a run that tasks part.
 
     Texts without words have no near-duplicates; texts shorter than a shingle are compared as a whole. Rows without an id are
     left out, rows that repeat an id count as one document, other columns play no part; an empty table has no groups.
@@ -317,26 +331,35 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     spark = docs.sparkSession
     short_batches(spark)
     rows = documents_of(docs, id_col, text_col)
-    wide = WorkTable(_wide(rows, words), "wide").read().withColumn("same", F.xxhash64("blocks"))
-    reps = materialize(wide.groupBy("sketch", "same").agg(F.min("doc").alias("rep")), "wide-reps")
-    of = wide.join(reps, ["sketch", "same"])
-    heads = of.where("doc = rep").select("sketch", "rep", F.posexplode("blocks").alias("block", "bits"))
-    keyed = heads.select(F.xxhash64("block", "bits").alias("key"), "sketch", "rep", F.xxhash64("rep", "block").alias("turn"))
-    found = of.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    most = 1
-    while True:
-        dealt = keyed.repartitionByRange(partitions(spark), "key", "turn").sortWithinPartitions("key", "turn").select("key", "sketch", "rep")
-        pairs = WorkTable(dealt.mapInArrow(_leaders(FAR, most), "key long, sketch long, a long, b long, back boolean"), "pairs").read()
-        same = WorkTable(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, words, similarity), "similar").read()
-        found = found.unionByName(same)
-        # those that no leader keeps are a run again
-        either = same.unionByName(same.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("kept", F.lit(True))
-        left = pairs.where("back").join(either, ["a", "b"], "left").groupBy("key", "sketch", F.col("b").alias("rep")).agg(F.max("kept").alias("kept"))
-        keyed = WorkTable(left.where("kept IS NULL").select("key", "sketch", "rep", F.xxhash64("rep", "key").alias("turn")), "left").read()
-        if keyed.isEmpty():
-            break
-        most *= 2
-    return components(found).select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
+    wide = WorkTable(_wide(rows, words), "wide").read()
+    reps = materialize(wide.groupBy("x", "y").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "wide-reps")
+    found = wide.select("doc", "x", "y").join(reps.where("n > 1"), ["x", "y"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    heads = wide.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("rep"), *_SKETCH, "blocks")
+    similar, checked, groups, first = None, None, None, 0
+    columns = ["key", *_SKETCH, "rep", "grp"]
+    made = ", ".join(f"{c} long" for c in ("key", *_SKETCH, "grp", "a", "b")) + ", back boolean"
+    for turn in TURNS:
+        of = heads if groups is None else heads.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep", "left")
+        of = of.select("rep", *_SKETCH, (F.col("rep") if groups is None else F.coalesce("grp", "rep")).alias("grp"), F.posexplode(F.slice("blocks", first + 1, turn)).alias("block", "bits"))
+        keyed = of.select(F.xxhash64(F.col("block") + first, "bits").alias("key"), *_SKETCH, "rep", "grp")
+        first, most = first + turn, 2
+        while True:
+            dealt = keyed.repartitionByRange(partitions(spark), "key", "rep").sortWithinPartitions("key", "rep").select(*columns)
+            pairs = WorkTable(dealt.mapInArrow(_pairs(FAR, most), made), "pairs").read()
+            new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            new = WorkTable(new if checked is None else new.join(checked, ["a", "b"], "left_anti"), "proposed").read()
+            same = WorkTable(_verified(new, rows, words, similarity), "similar").read()
+            checked = new if checked is None else checked.unionByName(new)
+            similar = same if similar is None else similar.unionByName(same)
+            # those that no leader keeps are a run again
+            either = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("kept", F.lit(True))
+            left = pairs.where("back").join(either, ["a", "b"], "left").groupBy("key", *_SKETCH, "grp", F.col("b").alias("rep")).agg(F.max("kept").alias("kept"))
+            keyed = WorkTable(left.where("kept IS NULL").select(*columns), "left").read()
+            if keyed.isEmpty():
+                break
+            most *= 4
+        groups = materialize(components(similar), "groups")
+    return components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))).select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
