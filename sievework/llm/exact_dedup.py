@@ -123,6 +123,6 @@ def text_sha256(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns. Rows without an id go."""
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept"))
     return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import WorkTable, documents_of, mix, partitions, short_batches, slices
-from .tokens import encoder
+from .tokens import encoder, largest_id
 
 WINDOW = 4096
 #: Documents of a shard, terms of a seed that are looked up, neighbours taken from the index at a time.
@@ -169,7 +169,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int)
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece of a document: `id_col`, start and length (ids of the document), ids_crc32, doc_tokens, sequence_id
     and offset (place in the sequence). Sequences have `window` ids, or a power of two.
 
@@ -179,6 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 2, window: in
     """
     spark = docs.sparkSession
     short_batches(spark)
+    vocabulary = max(largest_id(tokenizer), end_id) + 1
     schema = f"{_PIECE}, kind int, signature long, data binary"
     rows = WorkTable(documents_of(docs, id_col, text_col).mapInArrow(_encoded(tokenizer, kind, end_id, window, vocabulary), schema), "pieces").read()
     sums = rows.where("kind = 2").select("length", "doc_tokens", "data")

@@ -40,7 +40,7 @@ WIDER = {
     "phone": r"(?<![0-9+])(?:\([0-9]{2,4}\)|0?[0-9]{2,4})[\x20./-]{1,2}[0-9]{3,4}(?:[\x20.-][0-9]{3,4}){1,2}(?![0-9])",
 }
 #: A cheap sign that the wider pattern may match; without it the text isn't searched.
-HINT = {"email": r"(?i)[(\[{ ]at[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9][\x20-]?[0-9]{4}", "phone": r"[0-9][\x20.)/-]"}
+HINT = {"email": r"(?i)[(\[{ ]at[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9](?:[\x20-]?[0-9]){3}", "phone": r"[0-9][\x20.)/-]"}
 #: Words before a candidate that speak for it, by kind, in lower case.
 CONTEXT = {
     "email": r"mail|contact|write|reach|address|correo|courriel|@",

@@ -363,6 +363,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs but for those with a near-duplicate of a smaller id in their group, with all their columns."""
+    """The rows of docs but for those with a near-duplicate of a smaller id in their group, with all their columns. Rows without an
+    id go."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import WorkTable, documents_of, partitions, short_batches, slices
-from .tokens import encoder
+from .tokens import encoder, largest_id
 
 #: A chunk ends where the hash of its last ids has this many bits zero, after so many ids at least, or at the most.
 SPAN, BITS, LEAST, MOST = 8, 10, 256, 4096
@@ -111,15 +111,19 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "doc", "before", "n", "addresses", "packed", "shared", "root"])
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> None:
     """Writes the ids of all texts, with end_id after each, as a store in the folder (which must not be there yet).
 
     tokenizer is the path of a vocabulary's file, which the executors read; kind as in `tokens.Encoder`; width the bytes of an
-    id. Null and empty texts have the end id alone. Rows without an id are left out, rows that repeat one count as one
+    id (2 or 4; by the vocabulary if not given), and an error if its largest id needs more. Null and empty texts have the end id alone. Rows without an id are left out, rows that repeat one count as one
     document; other columns play no part; an empty table gives a store without documents.
     """
     spark = docs.sparkSession
     short_batches(spark)
+    least = 2 if max(largest_id(tokenizer), end_id) < 1 << 16 else 4
+    if width not in (None, 2, 4) or (width or 4) < least:
+        raise ValueError(f"the vocabulary's ids need {least} bytes")
+    width = width or least
     staged = WorkTable(documents_of(docs, id_col, text_col).mapInArrow(_chunks(tokenizer, kind, end_id, width), "doc long, n long, addresses array<binary>, packed array<binary>"), "encoded")
     rows = staged.read()
     chunk = rows.select("doc", F.posexplode("addresses").alias("place", "address"))

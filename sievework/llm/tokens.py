@@ -248,6 +248,11 @@ def _text(w: bytes) -> str | None:
         return None
 
 
+def largest_id(path: str) -> int:
+    """The largest id that a vocabulary's file has."""
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 _ENCODERS: dict = {}
 
 
