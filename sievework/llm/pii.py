@@ -2,7 +2,8 @@
 
 Everything on the executors is Spark SQL: candidates are arrays of spans, made and scored row by row without a shuffle.
 Strict patterns (base spans: email, ip, card, phone) always stay. Wider generators propose more, which may overlap: addresses
-with (at) and (dot), IPv6, phone numbers without a plus, card-like numbers that fail the check digit. Boosted trees score
+with (at) and (dot), IPv6, phone numbers without a plus, card-like numbers that fail the check digit, and long keys and tokens
+(secrets, which have no strict pattern). Boosted trees score
 those by their format and what stands around them; a threshold for each kind, set for high precision on examples held back,
 selects. What overlaps a base span or a better candidate goes.
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .base import documents_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of candidates.
+WIDE_KINDS = (*KINDS, "secret")
 
 #: Java patterns. Where a run of characters can't lead to a match from its first place it can't from any other, so a match
 #: only begins where a run does or where the last match ended (\G); that and possessive repeats keep long runs linear.
@@ -38,15 +41,17 @@ WIDER = {
     "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{2,4}\)|0?[0-9]{2,4})[\x20./-]{1,2}[0-9]{3,4}(?:[\x20.-][0-9]{3,4}){1,2}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20,}+",
 }
 #: A cheap sign that the wider pattern may match; without it the text isn't searched.
-HINT = {"email": r"(?i)[(\[{ ]at[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9](?:[\x20-]?[0-9]){3}", "phone": r"[0-9][\x20.)/-]"}
+HINT = {"email": r"(?i)[(\[{ ]at[)\]} ]", "ip": r"(?i)[0-9a-f]:[0-9a-f]{1,4}:", "card": r"[0-9](?:[\x20-]?[0-9]){3}", "phone": r"[0-9][\x20.)/-]", "secret": r"[A-Za-z0-9_+/-]{20}"}
 #: Words before a candidate that speak for it, by kind, in lower case.
 CONTEXT = {
     "email": r"mail|contact|write|reach|address|correo|courriel|@",
     "ip": r"ip|host|server|addr|client|peer",
     "card": r"card|visa|master|amex|credit|debit|karte|carte|tarjeta|cc",
     "phone": r"tel|phone|call|fax|mobile|cell|handy|ruf|appel|llam|dial",
+    "secret": r"token|secret|key|passw|auth|bearer|credential",
 }
 #: How many characters before a candidate count as its context.
 REACH = 24
@@ -59,7 +64,7 @@ FEATURES = ("kind", "digits", "size", "signs", "context", "glued", "luhn", "lead
 def _features_sql(v: str, before: str, after: str, kind: str) -> dict[str, str]:
     digits = f"regexp_replace({v}, '[^0-9]', '')"
     return {
-        "kind": str(KINDS.index(kind)),
+        "kind": str(WIDE_KINDS.index(kind)),
         "digits": f"length({digits})",
         "size": f"length({v})",
         "signs": f"length(regexp_replace({v}, '[^ ().:/-]', ''))",
@@ -85,7 +90,7 @@ def luhn(digits: str) -> bool:
 def _features(v: str, before: str, after: str, kind: str) -> list[float]:
     digits = re.sub("[^0-9]", "", v)
     return [
-        KINDS.index(kind),
+        WIDE_KINDS.index(kind),
         len(digits),
         len(v),
         len(re.sub(r"[^ ().:/-]", "", v)),
@@ -110,10 +115,10 @@ def _examples(rng: random.Random, n: int) -> tuple[np.ndarray, np.ndarray]:
     def word() -> str:
         return "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
 
-    cue = {"email": ["e-mail: ", "contact ", "write to "], "ip": ["host ", "from ip ", "client addr "], "card": ["card number ", "Visa ", "credit card: "], "phone": ["tel. ", "call ", "Phone: ", "fax "]}
+    cue = {"email": ["e-mail: ", "contact ", "write to "], "ip": ["host ", "from ip ", "client addr "], "card": ["card number ", "Visa ", "credit card: "], "phone": ["tel. ", "call ", "Phone: ", "fax "], "secret": ['token = "', "api_key: ", "password=", "Authorization: Bearer ", "secret: "]}
     rows, labels = [], []
     for _ in range(n):
-        kind, good = rng.choice(KINDS), rng.random() < 0.5
+        kind, good = rng.choice(WIDE_KINDS), rng.random() < 0.5
         before = f"{word()} {word()} "
         after = rng.choice([" ", ".", ",", "\n"])
         if kind == "email":
@@ -125,6 +130,11 @@ def _examples(rng: random.Random, n: int) -> tuple[np.ndarray, np.ndarray]:
             lead = rng.choice("3456") if good else rng.choice("0123456789")
             x = lead + number(15)
             v = " ".join(x[i : i + 4] for i in range(0, 16, 4)) if good and rng.random() < 0.6 else x if good or rng.random() < 0.6 else number(rng.randint(13, 19))
+        elif kind == "secret":
+            letters = rng.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+            v = "".join(rng.choice(letters) for _ in range(rng.choice([24, 32, 40, 64])))
+            if not good:  # a path, a name in parts, a number, or a digest that nothing calls a key
+                v = rng.choice(["/".join(word() for _ in range(6)) + number(2), "_".join(word() for _ in range(6)) + number(1), number(rng.randint(20, 30)), v])
         elif good:
             v = rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(rng.choice("23456789") + number(2), number(3), number(4))
         else:
@@ -177,7 +187,7 @@ def model(trees: int = 25, rate: float = 0.4, examples: int = 3000, precision: f
         z += rate * _value(t, x[:half])
     z = rate * sum(_value(t, x[half:]) for t in out)
     bounds = []
-    for k in range(len(KINDS)):
+    for k in range(len(WIDE_KINDS)):
         mine = x[half:, 0] == k
         s, right = z[mine], y[half:][mine]
         bounds.append(min((float(b) for b in np.unique(s) if right[s >= b].mean() >= precision), default=1e9))
@@ -227,7 +237,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Each document (`id_col`) with its base spans by kind and `added`, the candidates selected by the trees.
 
     email, ip, card, phone and added are arrays of struct(kind, begin, stop, score), in code points, stop exclusive, sorted
-    by begin; score is null for base spans. Null and empty texts have none. Rows without an id get no row, rows that repeat
+    by begin; score is null for base spans. `added` has spans of kind secret too. Null and empty texts have none. Rows without an id get no row, rows that repeat
     an id count as one document; other columns play no part. Equal candidates are one; of overlapping ones the best stays, the
     first of equals.
     """
@@ -236,11 +246,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         check = f"filter(b_{kind}, x -> {_CHECKS[kind]})" if _CHECKS[kind] else f"b_{kind}"
         rows = rows.withColumn(f"b_{kind}", _spans(BASE[kind]))
         rows = rows.withColumn(f"b_{kind}", F.expr(f"transform({check}, x -> struct('{kind}' AS kind, x.begin AS begin, x.stop AS stop, cast(NULL AS double) AS score))"))
+    for kind in WIDE_KINDS:
         rows = rows.withColumn(f"w_{kind}", _spans(WIDER[kind], HINT[kind]))
     base = "concat(" + ", ".join(f"b_{k}" for k in KINDS) + ")"
     trees, bounds = model()
     scored = []
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(WIDE_KINDS):
         features = _features_sql("x.v", f"substr(text, greatest(x.begin - {REACH}, 0) + 1, least(x.begin, {REACH}))", "substr(text, x.stop + 1, 1)", kind)
         free = f"filter(w_{kind}, x -> NOT exists({base}, b -> x.begin < b.stop AND b.begin < x.stop))"
         made = f"transform({free}, x -> struct('{kind}' AS name, x.begin AS begin, x.stop AS stop, {', '.join(f'{e} AS {n}' for n, e in features.items())}))"

@@ -38,8 +38,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_pii(_table(spark, sf_dir, "documents"))
 
-    def spans_of(kind: str) -> F.Column:
-        every = F.concat(kind, F.filter("added", lambda x: x["kind"] == kind))
+    def spans_of(kind: str, base: bool = True) -> F.Column:
+        wide = F.filter("added", lambda x: x["kind"] == kind)
+        every = F.concat(kind, wide) if base else wide
         return F.array_sort(F.transform(every, lambda x: F.struct(x["begin"].alias("begin"), x["stop"].alias("stop"))))
 
     def line(kind: str, spans) -> F.Column:
@@ -47,7 +48,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.array_join(F.concat(*(line(k, F.col(k)) for k in KINDS)), ",")
     spans = F.array_join(F.concat(*(line(k, spans_of(k)) for k in KINDS)), ",")
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.array_join(line("secret", spans_of("secret", False)), ",").alias("secrets"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sievework.llm import base, decontaminate, exact_dedup, langid, packing, pii, simhash, substring_dedup, suffix_dedup, token_store, tokens, toxicity
 
@@ -295,6 +296,97 @@ def test_pii(spark):
     assert "<card>" in {r.doc_id: r.text for r in pii.redact(df, found).collect()}[1]
 
 
-@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, simhash.simhash_components, simhash.near_duplicates, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, pii.find_pii, lambda d: packing.pack(d, WORD, "word")])
+def _base_spans(text):
+    """By the definition of each kind, with Python's patterns."""
+    digits = lambda v: [int(c) for c in v if c.isdigit()]
+    luhn = lambda d: sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda v: True),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", lambda v: 13 <= len(digits(v)) <= 19 and luhn(digits(v))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(digits(v)) <= 15),
+    )
+    return {k: [m.span() for m in re.finditer(p, text or "") if fits(m[0])] for k, p, fits in kinds}
+
+
+def test_base_spans_equal_the_definition(spark):
+    rng = random.Random(8)
+    parts = [*"0123456789" * 2, *"+-. ()@_%:ab", "4111 1111 1111 1111", "1.2.3.4", "256.1.1.1", "a.b@c.org", "+1 (555) 555-0100", "🔥", "é", "\n", "٣"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["x " * 100_000 + "a@b.co", "1" * 30_000, "a@" * 5000, "+1 " * 5000, "1.1." * 5000, "4111111111111111 " * 2000]
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    every = [*texts, *real]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(4)).collect()}
+    for i, t in enumerate(every):
+        assert {k: [(x.begin, x.stop) for x in got[i][k]] for k in pii.KINDS} == _base_spans(t)
+
+
+def test_added_spans(spark):
+    hold = ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "call (555) 123-4567 now", "write to me (at) site (dot) com", "api_key: Zk3jd83JKd93kdkKDJ39dkf83"]
+    clean = ["version 2024-01-02 10:20", "order 2669109448945250 shipped", "src/main/java/org/example/thing1/part", "see the_long_name_of_a_function_2 there", "a + b at c . d", "chapter 12.345.678", "1000 2000 3000"]
+    df = spark.createDataFrame(list(enumerate([*hold, *clean])), "doc_id long, text string")
+    got = {r.doc_id: [x.kind for x in r.added] for r in pii.find_pii(df).collect()}
+    assert [got[i] for i in range(4)] == [["secret"], ["phone"], ["email"], ["secret"]] and not any(got[i] for i in range(4, len(got)))
+
+
+def test_pipeline_stages(spark, rows, tmp_path):
+    """Each stage against its definition on all that the one before kept; documents keep their columns, rows without an id go."""
+    import corpus_pipeline
+
+    text = dict(rows)
+    out = lambda df: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    docs = _df(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb"))
+    words, shingles = {i: decontaminate.words(t) for i, t in rows}, {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    bench = spark.createDataFrame([(1, " ".join(words[2][:40])), (2, text[5])], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = out(docs.where("doc_id IS NOT NULL")), stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and kept.where("doc_id IS NULL").isEmpty()
+        after = out(kept)
+        if name == "language_id":  # two languages that nothing tells apart: what has no letter goes, what else is the model's to say
+            assert not any(not any(map(str.isalpha, t or "")) for t in after.values()) and set(after) <= set(before)
+            kept = docs  # the next stages get all
+        elif name == "exact_dedup":
+            by = {}
+            for i, t in sorted(before.items()):
+                by.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
+            assert set(after) == set(by.values())
+        elif name == "near_dedup":
+            near = [(a, b) for a in before for b in before if a < b and shingles[a] and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+            assert set(after) == {i for i, top in _groups(before, near).items() if i == top}
+        else:
+            bad = {r.doc_id for r in decontaminate.contamination(docs, bench).where("contaminated").collect()}
+            assert bad and set(after) == set(before) - bad
+        assert all(after[i] == before[i] for i in after)
+        docs = kept
+    ids = {i for i in out(docs)}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == ids
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns[0] == "doc_id"
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_words_that_agree_in_a_polynomial_hash(spark):
+    """Thue-Morse words: equal under any polynomial modulo 2^64."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    a, b = "x" * 8 + a, "x" * 8 + a.translate(str.maketrans("ab", "ba"))
+    for path, kind in ((BYTE, "byte"), (WORD, "word")):
+        short, plain = tokens.ArrayEncoder(path, kind), tokens.Encoder(path, "none")
+        assert all(np.array_equal(x, y) for x, y in zip(short.encode(pa.array([a, b])), plain.encode([a, b]), strict=True))
+    for n, run in ((12, lambda d: substring_dedup.substring_dedup(d)), (49, lambda d: suffix_dedup.suffix_dedup(d))):
+        same = " ".join(f"w{i}" for i in range(n))
+        df = spark.createDataFrame([(1, f"{same} {a}"), (2, f"{same} {b}")], "doc_id long, text string")
+        assert {r.n_removed for r in run(df).collect()} == {0}
+
+
+@pytest.mark.parametrize("run", [exact_dedup.exact_dedup, simhash.simhash_components, simhash.near_duplicates, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, pii.find_pii, lambda d: packing.pack(d, WORD, "word"), lambda d: decontaminate.contamination(d, d.selectExpr("doc_id AS item_id", "text")), lambda d: langid.identify(d, langid.fit(d)), lambda d: toxicity.toxicity(d, toxicity.fit(d, d.selectExpr("doc_id", "rank AS toxic")))])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
