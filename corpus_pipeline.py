@@ -1,7 +1,7 @@
 """A training corpus from documents: language ID, exact dedup, near-dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what the next one works on; all but the last return the columns of
-documents. `run` writes each stage's result before the next begins.
+documents. Rows without an id have no result in any stage and go. `run` writes each stage's result before the next begins.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model tells: without letters, or with two languages as likely, they go."""
     model = langid.fit(docs)
     found = langid.identify(docs, model, margin=0.02).where("lang_pred = 'und' OR ambiguous").select(F.col("doc_id").alias("__gone"))
-    return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti")
+    return docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
