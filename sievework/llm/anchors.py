@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Words, slices
+from .base import Words, slices, tidy
 
 #: 64-bit words of the bit table: 16 MB.
 TABLE_WORDS = 1 << 21
@@ -38,7 +38,7 @@ def repeated(rows: DataFrame, window: int, k: int) -> DataFrame:
                 h, ids = h[new], np.asarray(part.column(0))[of[new]]
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids)], names=["h", "doc"])
 
-    found = rows.mapInArrow(run, "h long, doc long").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n"))
+    found = rows.mapInArrow(tidy(run), "h long, doc long").groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n"))
     return found.where("a < b").select("h", "n")
 
 

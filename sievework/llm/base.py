@@ -9,10 +9,12 @@ contents must be told apart, they are compared, or digests of 128 bits are (`dig
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for `mapInArrow`; a worker that waits for its next task hands freed memory back to the system."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task
+
+
 def short_batches(spark: SparkSession) -> None:
     """Texts are long: fewer rows in an Arrow batch bound a Python worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -147,7 +162,11 @@ class Words:
         #: of[i]: the index of word i's text; first[d]: the index of text d's first word.
         self.first = np.searchsorted(self.start, at)
         self.of = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
-        self.hash = run_hash(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """Of each word, as `run_hash`."""
+        return run_hash(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end)
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """All words, each with one blank behind it, and where each begins (and the end): words i to j are the bytes from

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import documents_of, short_batches, slices
+from .base import documents_of, short_batches, slices, tidy
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast shard, about.
@@ -205,7 +205,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 spans = pa.array([[{"begin": s, "stop": e} for s, e in x] for x, _ in found], spans_type)
                 yield pa.record_batch([part.column(0), pa.array(map(len, texts), pa.int64()), spans, pa.array([sorted(i) for _, i in found], items_type)], names=["doc", "n_words", "spans", "items"])
 
-        parts.append(rows.mapInArrow(search, _FOUND))
+        parts.append(rows.mapInArrow(tidy(search), _FOUND))
     found = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WorkTable, documents_of, materialize, partitions, short_batches
+from .base import WorkTable, documents_of, materialize, partitions, short_batches, tidy
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -74,7 +74,7 @@ def _named(rows: DataFrame, level: str) -> DataFrame:
     """(doc, pos, blocks, name) of rows (doc, pos, blocks, k): equal k, equal name."""
     spark = rows.sparkSession
     dealt = rows.withColumn("h", F.xxhash64("k")).select("h", "k", "doc", "pos", "blocks").repartitionByRange(partitions(spark), "h", "doc", "pos").sortWithinPartitions("h", "k", "doc", "pos")
-    out = WorkTable(dealt.mapInArrow(_name, _NAMED), f"names-{level}").read()
+    out = WorkTable(dealt.mapInArrow(tidy(_name), _NAMED), f"names-{level}").read()
     # a few rows a task: the first and last content of each
     same = out.where("border IS NOT NULL").groupBy("border").agg(F.min("name").alias("to"), F.collect_set("name").alias("names")).where("size(names) > 1")
     renamed = same.select(F.explode("names").alias("name"), "to").where("name <> to")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Spelling, WordValues, documents_of, run_hash, short_batches, slices
+from .base import Spelling, WordValues, documents_of, run_hash, short_batches, slices, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, NGRAMS = 1 << 14, (1, 2, 3, 4)
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         lang, bucket = np.nonzero(total[:, :-1])
         yield pa.record_batch([pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counted = rows.mapInArrow(count_grams, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(tidy(count_grams), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((len(languages), BUCKETS))
     n[counted.column("lang").to_numpy(), counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
     rate = (n + 0.1) / (n + 0.1).sum(axis=1, keepdims=True)
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.record_batch([pa.array(np.arange(len(languages))), pa.array(list(right), pa.list_(pa.int64()))], names=["lang", "right"])
 
     right = np.ones((len(languages), codes.shape[1] + 1))
-    got = rows.mapInArrow(count_right, "lang long, right array<long>").select("lang", F.posexplode("right").alias("place", "n")).groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
+    got = rows.mapInArrow(tidy(count_right), "lang long, right array<long>").select("lang", F.posexplode("right").alias("place", "n")).groupBy("lang", "place").agg(F.sum("n").alias("n")).collect()
     for r in got:
         right[r["lang"], r["place"]] += r["n"]
     weight = right[:, :-1] / right[:, -1:]
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 unsure.append(len(p) > 1 and float(p[best] - np.partition(p, -2)[-2]) < margin)
             yield pa.record_batch([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=["doc", "lang_pred", "score", "ambiguous"])
 
-    return documents_of(docs, id_col, text_col).mapInArrow(run, "doc long, lang_pred string, score double, ambiguous boolean").withColumnRenamed("doc", id_col)
+    return documents_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc long, lang_pred string, score double, ambiguous boolean").withColumnRenamed("doc", id_col)
 
 
 def crc_mod(id_col: str, n: int) -> F.Column:

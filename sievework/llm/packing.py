@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WorkTable, documents_of, mix, partitions, short_batches, slices
+from .base import WorkTable, documents_of, mix, partitions, short_batches, slices, tidy
 from .tokens import encoder, largest_id
 
 WINDOW = 4096
@@ -181,10 +181,10 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 2, window: in
     short_batches(spark)
     vocabulary = max(largest_id(tokenizer), end_id) + 1
     schema = f"{_PIECE}, kind int, signature long, data binary"
-    rows = WorkTable(documents_of(docs, id_col, text_col).mapInArrow(_encoded(tokenizer, kind, end_id, window, vocabulary), schema), "pieces").read()
+    rows = WorkTable(documents_of(docs, id_col, text_col).mapInArrow(tidy(_encoded(tokenizer, kind, end_id, window, vocabulary)), schema), "pieces").read()
     sums = rows.where("kind = 2").select("length", "doc_tokens", "data")
     added = "length long, doc_tokens long, data binary"
-    got = sums.mapInArrow(_added, added).repartition(8).mapInArrow(_added, added).collect()  # 8 rows at most
+    got = sums.mapInArrow(tidy(_added), added).repartition(8).mapInArrow(tidy(_added), added).collect()  # 8 rows at most
     seen = sum(np.frombuffer(zlib.decompress(r["data"]), "<i8") for r in got) if got else np.zeros(vocabulary)
     n, tokens = sum(r["length"] for r in got), sum(r["doc_tokens"] for r in got)
     idf = np.log(1 + (n - seen + 0.5) / (seen + 0.5)) if n else np.zeros(vocabulary)
@@ -217,5 +217,5 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int = 2, window: in
 
     rests = rows.where("kind = 1").select("doc", "start", "doc_tokens", "data", "signature")
     rests = rests.repartitionByRange(partitions(spark), "signature", "doc").sortWithinPartitions("signature", "doc").drop("signature")
-    out = rows.where("kind = 0").select(*_NAMES).unionByName(rests.mapInArrow(run, _PIECE))
+    out = rows.where("kind = 0").select(*_NAMES).unionByName(rests.mapInArrow(tidy(run), _PIECE))
     return out.withColumnRenamed("doc", id_col)

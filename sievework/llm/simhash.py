@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WorkTable, digests, documents_of, materialize, mix, partitions, short_batches
+from .base import WorkTable, digests, documents_of, materialize, mix, partitions, short_batches, tidy
 from .components import components
 
 #: A-Z as a-z, byte by byte.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             fp = np.array([fingerprint(shingle_hashes(t.as_py(), words)) for t in batch.column(1)], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], names=["doc", "fp"])
 
-    return documents_of(docs, id_col, text_col).mapInArrow(run, "doc long, fp long")
+    return documents_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc long, fp long")
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -161,7 +161,7 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = 5, longest: int = 64)
     keys = F.array(*(F.struct(F.lit(i).cast("long").alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))
     keyed = fps.select(F.explode(keys).alias("k"), "fp", "rep").select("k.kind", F.xxhash64("k.key").alias("spread"), "k.key", "fp", "rep")
     dealt = keyed.repartitionByRange(partitions(spark), "kind", "spread", "rep").sortWithinPartitions("kind", "spread", "key", "rep").select("kind", "key", "fp", "rep")
-    found = materialize(dealt.mapInArrow(_compare(masks, distance, longest), "a long, b long, kind long, value long"), "near")
+    found = materialize(dealt.mapInArrow(tidy(_compare(masks, distance, longest)), "a long, b long, kind long, value long"), "near")
     far = found.where("value IS NOT NULL").select("kind", "value", F.col("a").alias("rep"))
     least = materialize(far.groupBy("value").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("value", "least"), "between")
     star = far.select("value", "rep").join(least, "value").where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
@@ -229,7 +229,7 @@ def _wide(docs: DataFrame, words: int) -> DataFrame:
             sketch, name = np.array(sketch, np.int64).reshape(-1, len(_SKETCH)), digests(name)
             yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(c) for c in (*sketch.T, *name.T)), pa.array(blocks, pa.list_(pa.int32()))], names=["doc", *_SKETCH, "x", "y", "blocks"])
 
-    return docs.mapInArrow(run, "doc long, " + "".join(f"{c} long, " for c in _SKETCH) + "x long, y long, blocks array<int>")
+    return docs.mapInArrow(tidy(run), "doc long, " + "".join(f"{c} long, " for c in _SKETCH) + "x long, y long, blocks array<int>")
 
 
 def _pairs(far: int, most: int, short: int = 16):
@@ -307,7 +307,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    of = WorkTable(docs.join(ids, "doc", "left_semi").mapInArrow(sets, "doc long, shingles array<long>"), "shingles").read()
+    of = WorkTable(docs.join(ids, "doc", "left_semi").mapInArrow(tidy(sets), "doc long, shingles array<long>"), "shingles").read()
     both = pairs.join(of.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
         first, most = first + turn, 2
         while True:
             dealt = keyed.repartitionByRange(partitions(spark), "key", "rep").sortWithinPartitions("key", "rep").select(*columns)
-            pairs = WorkTable(dealt.mapInArrow(_pairs(FAR, most), made), "pairs").read()
+            pairs = WorkTable(dealt.mapInArrow(tidy(_pairs(FAR, most)), made), "pairs").read()
             new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             new = WorkTable(new if checked is None else new.join(checked, ["a", "b"], "left_anti"), "proposed").read()
             same = WorkTable(_verified(new, rows, words, similarity), "similar").read()

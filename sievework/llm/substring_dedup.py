@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bit_table, in_table, repeated
-from .base import WorkTable, Words, digests, documents_of, partitions, short_batches, slices
+from .base import WorkTable, Words, digests, documents_of, partitions, short_batches, slices, tidy
 
 WINDOW, GRAM = 13, 5
 #: Rows of one minimiser that go to an automaton; of one with more, each window is a row of its own.
@@ -140,7 +140,7 @@ def _passages(rows: DataFrame, table, crowded, window: int, k: int) -> WorkTable
                     names=["x", "y", "doc", "first", "h", "text"],
                 )
 
-    return WorkTable(rows.mapInArrow(run, _PASSAGE), "passages")
+    return WorkTable(rows.mapInArrow(tidy(run), _PASSAGE), "passages")
 
 
 def _least(window: int):
@@ -197,7 +197,7 @@ def covered_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mos
     passages = _passages(docs, bit_table(anchors), bit_table(anchors.where(F.col("n") > most)), window, gram).read()
     # the row of a batch that has a passage's text has the smallest id of the batch too
     refs = passages.where("h IS NOT NULL").select("h", "x", "y", F.col("doc").alias("least"), "text").repartition(partitions(spark), "h").sortWithinPartitions("h")
-    by_passage = refs.mapInArrow(_least(window), "x long, y long, ids array<long>")
+    by_passage = refs.mapInArrow(tidy(_least(window)), "x long, y long, ids array<long>")
     by_window = passages.where("text = ''").groupBy("x", "y").agg(F.min("doc").alias("least")).select("x", "y", F.array("least").alias("ids"))
     ids = WorkTable(by_passage.unionByName(by_window), "least").read()
     hit = passages.select("x", "y", "doc", "first").join(ids, ["x", "y"]).where(F.array_min("ids") < F.col("doc"))
@@ -243,4 +243,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sha.append(hashlib.sha256(joined).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sha)], names=["doc", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return both.mapInArrow(run, "doc long, n_words long, n_removed long, kept string, kept_sha256 string").withColumnRenamed("doc", id_col)
+    return both.mapInArrow(tidy(run), "doc long, n_words long, n_removed long, kept string, kept_sha256 string").withColumnRenamed("doc", id_col)

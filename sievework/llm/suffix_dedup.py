@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import bit_table, in_table
-from .base import WorkTable, Words, digests, documents_of, partitions, short_batches, slices
+from .base import WorkTable, Words, digests, documents_of, partitions, short_batches, slices, tidy
 
 WORDS, GRAM = 50, 8
 #: Rows of one minimiser, or of one passage, that a task compares at once; one with more is left to the names and the aggregate.
 LONG = 100_000
 #: Rows of suffixes that a task gathers before it compares them (whole minimisers).
-TOGETHER = 20_000
+TOGETHER = 8_000
 
 #: A place: either a named passage of n windows from word pos on (x, y: its digest), or a suffix from word pos on (after: its
 #: words, before: those before it that a window may have, n: of them, the windows begin most to least words before it).
@@ -61,7 +61,7 @@ def _minimisers(rows: DataFrame, words: int, gram: int) -> DataFrame:
                     names=["h", "low_x", "high_x", "low_y", "high_y", "n"],
                 )
 
-    found = rows.mapInArrow(run, "h long, low_x long, high_x long, low_y long, high_y long, n long")
+    found = rows.mapInArrow(tidy(run), "h long, low_x long, high_x long, low_y long, high_y long, n long")
     found = found.groupBy("h").agg(*(F.min(f"low_{c}").alias(f"low_{c}") for c in "xy"), *(F.max(f"high_{c}").alias(f"high_{c}") for c in "xy"), F.sum("n").alias("n"))
     return found.where("n > 1").select("h", F.expr("low_x < high_x OR low_y < high_y").alias("mixed"))
 
@@ -90,7 +90,7 @@ def _places(rows: DataFrame, table, mixed, words: int, gram: int) -> DataFrame:
                 name = digests([data[a:b] for a, b in zip(at[lo[i]].tolist(), at[hi[i] + words].tolist(), strict=True)])
                 yield _rows(h=h[i], x=name[:, 0], y=name[:, 1], doc=ids[i], pos=lo[i] - first[i], n=hi[i] - lo[i] + 1)
 
-    return rows.mapInArrow(run, _PLACE)
+    return rows.mapInArrow(tidy(run), _PLACE)
 
 
 _SCHEMA = [(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in _PLACE.split(", ")]
@@ -349,18 +349,18 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, lon
     places = WorkTable(_places(docs, bit_table(h.select("h")), bit_table(h.where("mixed").select("h")), words, gram), "places").read()
     order = ["h", "after", "doc", "pos"]
     suffixes = places.where("after IS NOT NULL").select("h", "doc", "pos", "after", "before", "least", "most")
-    met = WorkTable(suffixes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_suffixes(words, longest, together), _FOUND), "suffixes").read()
+    met = WorkTable(suffixes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(tidy(_suffixes(words, longest, together)), _FOUND), "suffixes").read()
     order = ["h", "x", "y", "doc", "pos"]
     named = places.where("x IS NOT NULL").select(*order, "n").unionByName(met.where("x IS NOT NULL").select("h", "x", "y", "doc", F.col("begin").alias("pos"), "n"))
-    runs = WorkTable(named.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_runs(words, longest), _FOUND), "runs").read()
+    runs = WorkTable(named.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(tidy(_runs(words, longest)), _FOUND), "runs").read()
     rest = runs.where("x IS NOT NULL").select("x", "y", "doc", F.col("begin").alias("pos"), "n")
-    ends = WorkTable(rest.select("x", "y", "doc", "pos").mapInArrow(_ends, "x long, y long, doc long, pos long, last_doc long, last_pos long, second long"), "ends").read()
+    ends = WorkTable(rest.select("x", "y", "doc", "pos").mapInArrow(tidy(_ends), "x long, y long, doc long, pos long, last_doc long, last_pos long, second long"), "ends").read()
     led = ends.groupBy("x", "y").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max(F.struct("last_doc", "last_pos")).alias("most")).where("least.doc <> most.last_doc OR least.pos <> most.last_pos")
     second = F.min(F.when(F.col("doc") == F.col("least.doc"), F.col("second")).otherwise(F.col("doc")))
     # two keys a task, one for each LONG rows
     known = ends.join(F.broadcast(led), ["x", "y"]).groupBy("x", "y").agg(F.min("least").alias("least"), second.alias("second")).collect()
     least = spark.sparkContext.broadcast({(r["x"], r["y"]): (r["least"]["doc"], r["least"]["pos"], r["second"]) for r in known})
-    across = rest.mapInArrow(_told(least, words), _FOUND)
+    across = rest.mapInArrow(tidy(_told(least, words)), _FOUND)
     return met.where("x IS NULL").unionByName(runs.where("x IS NULL")).unionByName(across).select("doc", "begin", "stop", "gone_begin", "gone_stop", "other")
 
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WorkTable, documents_of, partitions, short_batches, slices
+from .base import WorkTable, documents_of, partitions, short_batches, slices, tidy
 from .tokens import encoder, largest_id
 
 #: A chunk ends where the hash of its last ids has this many bits zero, after so many ids at least, or at the most.
@@ -124,7 +124,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id: int =
     if width not in (None, 2, 4) or (width or 4) < least:
         raise ValueError(f"the vocabulary's ids need {least} bytes")
     width = width or least
-    staged = WorkTable(documents_of(docs, id_col, text_col).mapInArrow(_chunks(tokenizer, kind, end_id, width), "doc long, n long, addresses array<binary>, packed array<binary>"), "encoded")
+    staged = WorkTable(documents_of(docs, id_col, text_col).mapInArrow(tidy(_chunks(tokenizer, kind, end_id, width)), "doc long, n long, addresses array<binary>, packed array<binary>"), "encoded")
     rows = staged.read()
     chunk = rows.select("doc", F.posexplode("addresses").alias("place", "address"))
     # of an address that is found twice the first place is its home
@@ -138,7 +138,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str, end_id: int =
     # a document's two rows stay together as both have its id, by which alone the rows are dealt
     dealt = both.repartitionByRange(partitions(spark), "doc").sortWithinPartitions("doc", "kind")
     schema = "part int, doc long, before long, n long, addresses array<binary>, packed array<binary>, shared array<int>, root binary"
-    dealt.mapInArrow(_stored, schema).write.option("compression", "none").parquet(f"{folder}/documents")
+    dealt.mapInArrow(tidy(_stored), schema).write.option("compression", "none").parquet(f"{folder}/documents")
     parts = spark.read.schema(schema).parquet(f"{folder}/documents").select("part", "doc", "n", "root")
     sums = parts.groupBy("part").agg(F.min("doc").alias("first_doc"), F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("root"))
     got = sorted(sums.select("part", "first_doc", "n", "root").collect())  # a row a part
@@ -181,7 +181,7 @@ def read(spark: SparkSession, folder: str, per_document, schema: str) -> DataFra
                 yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else None) for i, c in enumerate(zip(*out, strict=True))], names=["part", "doc", "before", "n", *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
-    found = heads.where(whole).unionByName(gathered).mapInArrow(run, f"part int, doc long, before long, n long, {schema}")
+    found = heads.where(whole).unionByName(gathered).mapInArrow(tidy(run), f"part int, doc long, before long, n long, {schema}")
     return found.join(starts, "part").select("doc", (F.col("start") + F.col("before")).alias("start"), F.col("n").alias("n_tokens"), *names)
 
 

@@ -115,15 +115,16 @@ class ArrayEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int | bytes, int] = {}  # short words by their hashes, long ones as they are
+        self.count, self.long = 0, {}  # words; of them the long ones
+        self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # of short ones, sorted by hash
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.entry = np.zeros((1 << 16, 3), np.int64)  # where a word's ids begin, how many, the word's bytes
         self.lanes = np.zeros((1 << 16, 2), np.uint64)  # its first and last eight bytes
 
-    def _add(self, keys: list[int | bytes], words: list[str], size: np.ndarray, lanes: np.ndarray) -> None:
+    def _add(self, words: list[str], size: np.ndarray, lanes: np.ndarray) -> None:
         """Remembers the words' ids. Words that end in letters are encoded many at once, with a character between that parts
         them; the few others one by one."""
-        first, n = len(self.known), len(words)
+        first, n = self.count, len(words)
         while first + n > len(self.entry):
             self.entry = np.concatenate([self.entry, np.zeros_like(self.entry)])
             self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)])
@@ -151,7 +152,7 @@ class ArrayEncoder:
         self.entry[first : first + n, 2] = size
         self.lanes[first : first + n] = lanes
         self.used += len(flat)
-        self.known.update(zip(keys, range(first, first + n), strict=True))
+        self.count += n
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null as the empty text."""
@@ -211,32 +212,35 @@ class ArrayEncoder:
         lane = np.ndarray(len(b) - 7, "<u8", b, strides=(1,))
         lanes = np.stack([lane[start] & _KEEP[np.minimum(size, 8)], np.where(size > 8, lane[np.maximum(end - 8, 0)], np.uint64(0))], 1)
         hashes = mix(lanes[:, 0] ^ mix(lanes[:, 1] + size.astype(np.uint64)))
-        hashes[size > 16] = 0
+        short, data = size <= 16, b.tobytes()
+        hashes[~short] = 0
         uniq, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        long = np.flatnonzero((size > 16) & (size <= LONGEST))
-        data = b.tobytes()
+        long = np.flatnonzero(~short & (size <= LONGEST))
         long_words = [data[x:y] for x, y in zip(start[long].tolist(), end[long].tolist(), strict=True)]
-        at = dict(zip(long_words, long.tolist(), strict=True))
-        keys = [*uniq.tolist(), *at]
-        one = np.concatenate([one, np.fromiter(at.values(), np.int64, len(at))])
-        got = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
-        if (got < 0).sum() + len(self.known) > CACHE:
+        if self.count + len(uniq) + len(long_words) > CACHE:
             self._forget()
-            got[:] = -1
-        miss = np.flatnonzero((got < 0) & ((size[one] <= 16) | (np.arange(len(one)) >= len(uniq))))
-        got[got < 0] = 0
-        if len(miss):
-            # a text that isn't for the short way may have words here that are no whole characters; nothing reads them
-            words = [_text(data[x:y]) for x, y in zip(start[one[miss]].tolist(), end[one[miss]].tolist(), strict=True)]
-            if None in words:
-                miss, words = miss[[w is not None for w in words]], [w for w in words if w is not None]
-            if words:
-                known = len(self.known)
-                self._add([keys[i] for i in miss.tolist()], words, size[one[miss]], lanes[one[miss]])
-                got[miss] = known + np.arange(len(words))
+        place = np.searchsorted(self.hashes, uniq)
+        got = np.zeros(len(uniq), np.int64)
+        hit = place < len(self.hashes)
+        hit[hit] = self.hashes[place[hit]] == uniq[hit]
+        got[hit] = self.at[place[hit]]
+        miss = np.flatnonzero(~hit & short[one])
+        new = {w: i for w, i in zip(long_words, long.tolist(), strict=True) if w not in self.long}
+        # a text that isn't for the short way may have words here that are no whole characters; nothing reads them
+        words = [_text(data[x:y]) for x, y in zip(start[one[miss]].tolist(), end[one[miss]].tolist(), strict=True)]
+        whole = np.array([w is not None for w in words], bool)
+        miss, words = miss[whole], [w for w in words if w is not None]
+        texts = {w: t for w in new if (t := _text(w)) is not None}
+        if words or texts:
+            i = np.concatenate([one[miss], np.array([new[w] for w in texts], np.int64)])
+            first = self.count
+            self._add([*words, *texts.values()], size[i], lanes[i])
+            got[miss] = first + np.arange(len(words))
+            self.hashes, self.at = np.insert(self.hashes, place[miss], uniq[miss]), np.insert(self.at, place[miss], got[miss])
+            self.long.update(zip(texts, range(first + len(words), self.count), strict=True))
         found = got[inverse]
         if len(long):
-            found[long] = [self.known.get(w, 0) for w in long_words]
+            found[long] = [self.long.get(w, 0) for w in long_words]
         same = (size <= LONGEST) & (self.entry[found, 2] == size) & (self.lanes[found] == lanes).all(axis=1)
         return found, np.flatnonzero(~same)
 

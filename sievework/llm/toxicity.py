@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Spelling, WordValues, WorkTable, documents_of, mix, run_hash, short_batches, slices
+from .base import Spelling, WordValues, WorkTable, documents_of, mix, run_hash, short_batches, slices, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         at = np.flatnonzero(total.sum(axis=0))
         yield pa.record_batch([pa.array(at), pa.array(total[1, at]), pa.array(total.sum(axis=0)[at])], names=["place", "toxic", "n"])
 
-    got = rows.mapInArrow(count, "place long, toxic long, n long").groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(tidy(count), "place long, toxic long, n long").groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).toArrow()
     at = got.column("place").to_numpy()
     table = np.zeros((2, BUCKETS + 1), np.int32)
     table[0, at], table[1, at] = got.column("toxic").to_numpy(), got.column("n").to_numpy()
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["y", "n", "found", "kinds", "many"])
 
     # written once, so that whatever executor is lost, both readings see the same rows; no more rows than the sample
-    scored = WorkTable(rows.mapInArrow(score, "y int, n long, found array<double>, kinds array<double>, many array<long>"), "segments")
+    scored = WorkTable(rows.mapInArrow(tidy(score), "y int, n long, found array<double>, kinds array<double>, many array<long>"), "segments")
     spread = scored.read().select(F.explode(F.arrays_zip("kinds", "many")).alias("x")).groupBy("x.kinds").agg(F.sum("x.many").alias("n")).collect()
     best = scored.read().where("y = 0 AND n > 0 AND size(found) > 0").select("n", F.array_max("found").alias("best")).toArrow()
     if not spread:
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             both = [_features([model.surprise(s, n) for s in found]) for n, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array([a for a, _ in both], pa.float64()), pa.array([b for _, b in both], pa.float64())], names=["y", "best", "all"])
 
-    got = scored.read().select("y", "n", "found").mapInArrow(features, "y int, best double, all double").toArrow()
+    got = scored.read().select("y", "n", "found").mapInArrow(tidy(features), "y int, best double, all double").toArrow()
     scored.drop()
     x, y = np.column_stack([got.column("best").to_numpy(), got.column("all").to_numpy()]), got.column("y").to_numpy()
     model.weights = _logistic(x, y.astype(float))
@@ -243,4 +243,4 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 passages.append([{"begin": a, "stop": b, "surprise": s} for a, b, s in found if s >= -math.log(SIGNIFICANT)])
             yield pa.record_batch([part.column(0), pa.array(score), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(passages, kind)], names=["doc", "score", "predicted", "passages"])
 
-    return documents_of(docs, id_col, text_col).mapInArrow(run, "doc long, score double, predicted int, passages array<struct<begin:int,stop:int,surprise:double>>").withColumnRenamed("doc", id_col)
+    return documents_of(docs, id_col, text_col).mapInArrow(tidy(run), "doc long, score double, predicted int, passages array<struct<begin:int,stop:int,surprise:double>>").withColumnRenamed("doc", id_col)
