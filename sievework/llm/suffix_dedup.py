@@ -9,10 +9,11 @@ equal, word by word. All rows of an interval are compared with one another by so
 its beginning. Words are told by their bytes.
 
 Only minimisers found twice take part. Where all places of a minimiser have the same passage (copies), suffixes tell nothing
-more: the passage is one row, named by 128 bits of a digest of its words. So are the windows of minimisers that reach into
-another task (two a task at most, as rows are dealt by range over (minimiser, words, document, place)) or have more than LONG
-rows: a line that a third of all rows have, with other words around it, spreads over many tasks that way. Rows of one name are
-found by sorting (name, document, place); names at the borders between tasks, and very long runs of one, are summed up by
+more: the passage is one row, named by 128 bits of a digest of its words. A minimiser's suffixes go to one
+task if they are LONG at most, else they are dealt by range over (words, document, place): so does a line that a third of all
+rows have, with other words around it. Of such a minimiser an interval at a task's first or last row may go on in the next task;
+only windows of such intervals are named by digests too. Rows of one name
+are found by sorting (name, document, place); names at the borders between tasks, and very long runs of one, are summed up by
 an aggregate: two keys a task and one for each LONG rows at most, which are broadcast to the rows of those runs.
 """
 
@@ -29,14 +30,14 @@ from .anchors import bit_table, in_table
 from .base import WorkTable, Words, digests, documents_of, partitions, short_batches, slices, tidy
 
 WORDS, GRAM = 50, 8
-#: Rows of one minimiser, or of one passage, that a task compares at once; one with more is left to the names and the aggregate.
+#: Rows of one minimiser (some 70 MB), or of one passage, that a task compares at once; a minimiser with more is dealt over several tasks.
 LONG = 100_000
 #: Rows of suffixes that a task gathers before it compares them (whole minimisers).
 TOGETHER = 8_000
 
 #: A place: either a named passage of n windows from word pos on (x, y: its digest), or a suffix from word pos on (after: its
 #: words, before: those before it that a window may have, n: of them, the windows begin most to least words before it).
-_PLACE = "h long, x long, y long, doc long, pos long, n long, after string, before string, least long, most long"
+_PLACE = "h long, x long, y long, doc long, pos long, n long, after string, before string, least long, most long, crowded long"
 _FOUND = "doc long, begin long, stop long, gone_begin long, gone_stop long, other long, h long, x long, y long, n long"
 
 
@@ -63,10 +64,10 @@ def _minimisers(rows: DataFrame, words: int, gram: int) -> DataFrame:
 
     found = rows.mapInArrow(tidy(run), "h long, low_x long, high_x long, low_y long, high_y long, n long")
     found = found.groupBy("h").agg(*(F.min(f"low_{c}").alias(f"low_{c}") for c in "xy"), *(F.max(f"high_{c}").alias(f"high_{c}") for c in "xy"), F.sum("n").alias("n"))
-    return found.where("n > 1").select("h", F.expr("low_x < high_x OR low_y < high_y").alias("mixed"))
+    return found.where("n > 1").select("h", "n", F.expr("low_x < high_x OR low_y < high_y").alias("mixed"))
 
 
-def _places(rows: DataFrame, table, mixed, words: int, gram: int) -> DataFrame:
+def _places(rows: DataFrame, table, mixed, crowded, words: int, gram: int) -> DataFrame:
     """The places of minimisers in the table: suffixes of those in `mixed`, named passages of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def _places(rows: DataFrame, table, mixed, words: int, gram: int) -> DataFrame:
                 i = np.flatnonzero(differ)
                 after = [data[a:b].decode() for a, b in zip(at[spot[i]].tolist(), at[hi[i] + words].tolist(), strict=True)]
                 before = [data[a:b].decode() for a, b in zip(at[lo[i]].tolist(), at[spot[i]].tolist(), strict=True)]
-                yield _rows(h=h[i], doc=ids[i], pos=spot[i] - first[i], n=hi[i] - lo[i] + 1, after=after, before=before, least=spot[i] - hi[i], most=spot[i] - lo[i])
+                yield _rows(h=h[i], doc=ids[i], pos=spot[i] - first[i], n=hi[i] - lo[i] + 1, after=after, before=before, least=spot[i] - hi[i], most=spot[i] - lo[i], crowded=in_table(crowded.value, h[i]).astype(np.int64))
                 i = np.flatnonzero(~differ)
                 name = digests([data[a:b] for a, b in zip(at[lo[i]].tolist(), at[hi[i] + words].tolist(), strict=True)])
                 yield _rows(h=h[i], x=name[:, 0], y=name[:, 1], doc=ids[i], pos=lo[i] - first[i], n=hi[i] - lo[i] + 1)
@@ -165,8 +166,9 @@ def common_beginnings(number: np.ndarray, first: np.ndarray, size: np.ndarray) -
     return out
 
 
-def suffix_windows(h, doc, pos, after: pa.Array, before: pa.Array, least, most, words: int) -> Iterator[pa.RecordBatch]:
-    """The windows that rows of suffixes, sorted by (h, after, doc, pos), have in common."""
+def suffix_windows(h, doc, pos, after: pa.Array, before: pa.Array, least, most, words: int, more_before: bool, more_after: bool) -> Iterator[pa.RecordBatch]:
+    """The windows that rows of suffixes, sorted by (h, after, doc, pos), have in common. If rows may go on before or after these,
+    the windows of the interval at that end come as they are, named."""
     n = len(h)
     both = Words(pa.concat_arrays([after, before]))
     number, at = both.numbers(), both.first
@@ -174,84 +176,68 @@ def suffix_windows(h, doc, pos, after: pa.Array, before: pa.Array, least, most,
     lcp = common_beginnings(number, at[:n], right)
     lcp[_heads(h)] = -1
     # left: a name for the o words before each suffix, for each o in turn
-    back, ends = np.zeros(n, np.int64), at[n + 1 :]
+    back, ends, open_rows = np.zeros(n, np.int64), at[n + 1 :], []
     for o in range(int(most.max()) + 1 if n else 0):
         if o:
             word = np.where(left >= o, number[np.maximum(ends - o, 0)], -1)
             _, back = np.unique(back * (len(number) + 2) + word + 1, return_inverse=True)
-        i = np.flatnonzero((least <= o) & (o <= most))
+        interval = np.cumsum(lcp < words - o)
+        use = (least <= o) & (o <= most)
+        cut = use & (more_before & (interval == interval[0]) | more_after & (interval == interval[-1]))
+        open_rows.append(np.stack([np.flatnonzero(cut), np.full(int(cut.sum()), o)]))
+        i = np.flatnonzero(use & ~cut)
         if len(i) < 2:
             continue
-        interval = np.cumsum(lcp < words - o)[i]
         begin = pos[i] - o
-        order = np.lexsort((begin, doc[i], back[i], interval))
-        i, begin, interval = i[order], begin[order], interval[order]
-        keep, gone, other, begin = _told_of_runs(_heads(interval, back[i]), doc[i], begin)
+        order = np.lexsort((begin, doc[i], back[i], interval[i]))
+        i, begin = i[order], begin[order]
+        keep, gone, other, begin = _told_of_runs(_heads(interval[i], back[i]), doc[i], begin)
         if len(gone):
             yield _together(doc[i][keep], begin, 1, gone, other, words)
+    i, o = np.concatenate(open_rows, axis=1) if open_rows else np.zeros((2, 0), np.int64)
+    if len(i):
+        data, byte = both.joined()
+        name = digests([data[a:b] + data[c:d] for a, b, c, d in zip(byte[ends[i] - o].tolist(), byte[ends[i]].tolist(), byte[at[i]].tolist(), byte[at[i] + words - o].tolist(), strict=True)])
+        yield _as_they_are(h[i], name[:, 0], name[:, 1], doc[i], pos[i] - o, np.ones(len(i), np.int64))
 
 
 def _suffixes(words: int, longest: int, together: int):
-    """Of sorted suffixes: the windows that others have too, as in `repeated_passages`, and as named windows those of the
-    minimisers that another task may have, or that have too many rows."""
-
-    def named(rows: list) -> Iterator[pa.RecordBatch]:
-        h, doc, pos, after, before, least, most = rows
-        for i in range(0, len(h), 2000):
-            part = [c[i : i + 2000] for c in rows]
-            h, doc, pos, after, before, least, most = part
-            w = Words(pa.array([a + b for a, b in zip(before.to_pylist(), after.to_pylist(), strict=True)], pa.string()))
-            data, at = w.joined()
-            times = most - least + 1
-            of = np.repeat(np.arange(len(h)), times)
-            begin = np.arange(len(of)) - (np.cumsum(times) - times)[of]  # counted from the earliest
-            a, b = at[w.first[of] + begin], at[w.first[of] + begin + words]
-            name = digests([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            yield _as_they_are(h[of], name[:, 0], name[:, 1], doc[of], (pos - most)[of] + begin, np.ones(len(of), np.int64))
-
-    def whole(rows: list) -> Iterator[pa.RecordBatch]:
-        out = list(suffix_windows(*rows, words))
-        if out:
-            t = pa.Table.from_batches(out).combine_chunks()
+    """Of sorted suffixes: the windows that others have too, as in `repeated_passages`, and named windows of intervals that
+    another task, or another part of a very long run of one minimiser, may have rows of."""
+
+    def whole(rows: list, more_before: bool, more_after: bool) -> Iterator[pa.RecordBatch]:
+        found, crowded = [], rows[7]
+        for out in suffix_windows(*rows[:7], words, more_before and crowded[0] == 1, more_after and crowded[-1] == 1):
+            if out.column("x").null_count:
+                found.append(out)
+            else:
+                yield out
+        if found:
+            t = pa.Table.from_batches(found).combine_chunks()
             doc, begin, stop, gone = (t.column(c).to_numpy() for c in ("doc", "begin", "stop", "gone_stop"))
             other = t.column("other").fill_null(_NONE).to_numpy()
             yield _together(doc, begin, stop - begin - (words - 1), gone > begin, other, words)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
-        count, first, over = 0, None, None  # first: the task's first minimiser; over: one that has had too many rows
+        count, more_before = 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(i) if i in (3, 4) else batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)])
+            held.append([batch.column(i) if i in (3, 4) else batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)])
             count += batch.num_rows
-            first = held[0][0][0] if first is None else first
             if count < together:
                 continue
             rows = [pa.concat_arrays(c) if i in (3, 4) else np.concatenate(c) for i, c in enumerate(zip(*held, strict=True))]
-            h = rows[0]
-            cut = int(np.searchsorted(h, h[-1]))
-            a = int(np.searchsorted(h, first if over is None else over, "right"))
-            a = a if h[0] in (first, over) else 0
-            yield from named([c[: min(a, cut)] for c in rows])
-            if cut > a:
-                yield from whole([c[a:cut] for c in rows])
-            rows = [c[cut:] for c in rows]
-            if len(rows[0]) >= longest or rows[0][0] in (first, over):
-                over = rows[0][0]
-                yield from named(rows)
-                held, count = [], 0
-            else:
-                held, count = [rows], len(rows[0])
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # whole minimisers, but for one with very many rows
+            long = not cut and count >= longest
+            cut = count if long else cut
+            if cut:
+                yield from whole([c[:cut] for c in rows], more_before, long)
+                more_before = long
+            held, count = [[c[cut:] for c in rows]], count - cut
         if count:
-            rows = [pa.concat_arrays(c) if i in (3, 4) else np.concatenate(c) for i, c in enumerate(zip(*held, strict=True))]
-            h = rows[0]
-            cut = int(np.searchsorted(h, h[-1]))
-            a = min(cut, max((int(np.searchsorted(h, x, "right")) for x in (first, over) if x is not None and h[0] == x), default=0))
-            yield from named([c[:a] for c in rows])
-            if cut > a:
-                yield from whole([c[a:cut] for c in rows])
-            yield from named([c[cut:] for c in rows])
+            yield from whole([pa.concat_arrays(c) if i in (3, 4) else np.concatenate(c) for i, c in enumerate(zip(*held, strict=True))], more_before, True)
 
     return task
 
@@ -341,15 +327,16 @@ def _told(least, words: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, longest: int = LONG, together: int = TOGETHER) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, longest: int = LONG, together: int = TOGETHER, crowded: int = LONG) -> DataFrame:
     """doc, begin, stop (words of it that another place has too), gone_begin, gone_stop (the part that an earlier document,
     or an earlier place of this one, has; empty if none) and other (the smallest other document with them)."""
     spark = docs.sparkSession
     h = WorkTable(_minimisers(docs, words, gram), "minimisers").read()
-    places = WorkTable(_places(docs, bit_table(h.select("h")), bit_table(h.where("mixed").select("h")), words, gram), "places").read()
+    places = WorkTable(_places(docs, bit_table(h), bit_table(h.where("mixed")), bit_table(h.where(F.col("n") > crowded)), words, gram), "places").read()
     order = ["h", "after", "doc", "pos"]
-    suffixes = places.where("after IS NOT NULL").select("h", "doc", "pos", "after", "before", "least", "most")
-    met = WorkTable(suffixes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(tidy(_suffixes(words, longest, together)), _FOUND), "suffixes").read()
+    suffixes = places.where("after IS NOT NULL").select("h", "doc", "pos", "after", "before", "least", "most", "crowded")
+    dealt = suffixes.repartitionByRange(partitions(spark), "h", *(F.when(F.col("crowded") == 1, F.col(c)) for c in order[1:]))
+    met = WorkTable(dealt.sortWithinPartitions(*order).mapInArrow(tidy(_suffixes(words, longest, together)), _FOUND), "suffixes").read()
     order = ["h", "x", "y", "doc", "pos"]
     named = places.where("x IS NOT NULL").select(*order, "n").unionByName(met.where("x IS NOT NULL").select("h", "x", "y", "doc", F.col("begin").alias("pos"), "n"))
     runs = WorkTable(named.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(tidy(_runs(words, longest)), _FOUND), "runs").read()

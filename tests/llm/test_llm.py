@@ -159,7 +159,7 @@ def test_suffix_dedup_of_passages_that_end_alike(spark, longest, monkeypatch):
     heads = [text(36) for _ in range(250)]
     docs = [(i, f"{text(20)} {heads[i % 250]} {line} {text(40)}") for i in range(500)] + [(i, f"{text(30)} {line} {text(60)}") for i in range(500, 900)]
     docs += [(900, f"{heads[0]} {line} {text(9)} {heads[0]} {line}")]
-    monkeypatch.setattr(suffix_dedup.repeated_passages, "__defaults__", (50, 8, longest, longest))
+    monkeypatch.setattr(suffix_dedup.repeated_passages, "__defaults__", (50, 8, longest, longest, longest))
     got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     places = defaultdict(list)
     for i, t in docs:
