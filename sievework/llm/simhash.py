@@ -14,7 +14,7 @@ is too coarse: wide fingerprints cut into blocks of 20 bits, each a key. See the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import WorkTable, digests, documents_of, materialize, mix, partitions, short_batches, tidy
+from .base import WorkTable, digests, documents_of, materialize, partitions, short_batches, tidy
 from .components import components
 
 #: A-Z as a-z, byte by byte.
@@ -232,85 +232,125 @@ def _wide(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc long, " + "".join(f"{c} long, " for c in _SKETCH) + "x long, y long, blocks array<int>")
 
 
-def _pairs(far: int, most: int, short: int = 16):
-    """Of rows (key, sketch, rep, grp) sorted by key: in each run the first `most` rows (in an order that differs from run to run)
-    lead all whose sketches are near one of theirs, the first of the rest lead likewise, and so on. Leaders are paired with all rows of the run with near sketches, but
-    for those of their own group: a leads b, whose sketch and group are there too; `back` says that b has not been compared
-    with all others. In a run of `short` rows or fewer, all lead."""
-    names = ["key", *_SKETCH, "grp", "a", "b", "back"]
-
-    def run_pairs(key, sketch, rep, grp) -> Iterator[pa.RecordBatch]:
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(new, len(key)))
-        # runs of one group have nothing to tell
-        several = np.minimum.reduceat(grp, new) != np.maximum.reduceat(grp, new)
-        near = lambda i, j: np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64) <= far
-        two = new[(size == 2) & several]
-        two = two[near(two, two + 1)]
-        a, b, back, count = [two], [two + 1], [np.zeros(len(two), bool)], len(two)
-        use = (size > 2) & several
-        for start, n in zip(new[use].tolist(), size[use].tolist(), strict=True):
-            every = np.arange(start, start + n)
-            leads, i = np.zeros(n, bool), every[np.argsort(mix((rep[every] ^ key[every]).view(np.uint64)), kind="stable")]
-            k = n if n <= short else most
-            pairs = []
-            while len(i):
-                stay = np.ones(n, bool)
-                for lead in i[:k].tolist():
-                    leads[lead - start] = True
-                    close = near(every, lead)
-                    stay &= ~close
-                    pairs.append((lead, every[close & (grp[every] != grp[lead])]))
-                i = i[k:]
-                i = i[stay[i - start]]
-            for lead, follow in pairs:
-                follow = follow[~leads[follow - start] | (follow > lead)]  # of two leaders one pair
-                a.append(np.full(len(follow), lead))
-                b.append(follow)
-                back.append(~leads[follow - start])
-                count += len(follow)
-            if count > 100_000:
-                yield out(a, b, back, key, sketch, grp, rep)
-                a, b, back, count = [], [], [], 0
-        if count:
-            yield out(a, b, back, key, sketch, grp, rep)
-
-    def out(a, b, back, key, sketch, grp, rep) -> pa.RecordBatch:
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.record_batch([pa.array(c) for c in (key[a], *np.ascontiguousarray(sketch[b].T).view(np.int64), grp[b], rep[a], rep[b], np.concatenate(back))], names=names)
+def _pieces(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list]) -> Iterator[list]:
+    """The columns of sorted rows in pieces of whole runs; the first column tells runs."""
+    held: list[list] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = columns(batch)
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # a run that goes on is held
+        if cut or (held and held[-1][0][-1] != rows[0][0]):
+            held.append([x[:cut] for x in rows])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, rows = [], [x[cut:] for x in rows]
+        held.append(rows)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _near_others(sketch: np.ndarray, grp: np.ndarray, far: int) -> np.ndarray:
+    """Which rows have a near sketch in another group."""
+    n = len(grp)
+    found, todo, step = np.zeros(n, bool), np.arange(n), max(1, (1 << 18) // max(n, 1))
+    while len(todo):
+        some, todo = todo[:step], todo[step:]
+        close = (np.bitwise_count(sketch[some, None] ^ sketch).sum(axis=-1, dtype=np.int64) <= far) & (grp[some, None] != grp)
+        found[some] |= close.any(axis=1)
+        found |= close.any(axis=0)
+        todo = todo[~found[todo]]
+    return found
+
+
+def _near_rows(far: int, short: int = 16):
+    """Of rows (key, sketch, rep, grp) sorted by key and rep: those with a near sketch of another group in their run, once each,
+    with the first rep that this task has of the run (part)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        def columns(batch: pa.RecordBatch) -> list:
             key, *sketch, rep, grp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
-            rows = [key, np.stack(sketch, 1).view(np.uint64), rep, grp]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # a run that goes on is held
-            if cut:
-                yield from run_pairs(*(x[:cut] for x in rows))
-            held = [x[cut:] for x in rows]
-        if held is not None and len(held[0]):
-            yield from run_pairs(*held)
+            return [key, np.stack(sketch, 1).view(np.uint64), rep, grp]
+
+        for key, sketch, rep, grp in _pieces(batches, columns):
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(new, len(key)))
+            run, found = np.repeat(np.arange(len(new)), size), np.zeros(len(key), bool)
+            some = np.flatnonzero((size <= short)[run])
+            for step in range(1, short):
+                i = np.flatnonzero(run[some[step:]] == run[some[:-step]])
+                i, j = some[i], some[i + step]
+                i, j = (x[grp[i] != grp[j]] for x in (i, j))
+                near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64) <= far
+                found[i[near]] = found[j[near]] = True
+            for k in np.flatnonzero(size > short).tolist():
+                all_of = slice(int(new[k]), int(new[k] + size[k]))
+                found[all_of] = _near_others(sketch[all_of], grp[all_of], far)
+            i = np.flatnonzero(found)
+            if len(i):
+                yield pa.record_batch([pa.array(c) for c in (key[i], rep[new[run[i]]], *np.ascontiguousarray(sketch[i].T).view(np.int64), rep[i], grp[i])], names=["key", "part", *_SKETCH, "rep", "grp"])
+
+    return task
+
+
+def _run_links(rep: np.ndarray, sketch: np.ndarray, grp: np.ndarray, shingles: list[np.ndarray], far: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links of similar texts between the groups of one run: those of near sketches are compared by their whole sets, unless links
+    have made them one group already, so there are fewer links than groups."""
+    size = np.fromiter(map(len, shingles), np.int64, len(shingles))
+    end = np.cumsum(size)
+    _, code = np.unique(np.concatenate(shingles), return_inverse=True)
+    mine, grp = np.zeros(int(code.max()) + 1, bool), grp.copy()
+    for i in range(len(rep) - 1):
+        j = np.flatnonzero(grp[i + 1 :] != grp[i]) + i + 1
+        if not len(j) and (grp == grp[0]).all():
+            return
+        j = j[np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=-1, dtype=np.int64) <= far]
+        j = j[np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])]
+        if not len(j):
+            continue
+        own = code[end[i] - size[i] : end[i]]
+        mine[own] = True
+        first = np.cumsum(size[j]) - size[j]
+        shared = np.add.reduceat(mine[np.concatenate([code[end[x] - size[x] : end[x]] for x in j.tolist()])], first, dtype=np.int64)
+        mine[own] = False
+        j = j[shared >= similarity * (size[i] + size[j] - shared)]
+        met, at = np.unique(grp[j], return_index=True)
+        if len(met):
+            yield from ((int(rep[i]), int(rep[x])) for x in j[at].tolist())
+            grp[np.isin(grp, met)] = grp[i]
+
+
+def _similar(far: int, similarity: float):
+    """Of rows (key, part, sketch, rep, grp, shingles) sorted by key and part: the links (a, b) of each part of a run."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(batch: pa.RecordBatch) -> list:
+            key, part, *sketch, rep, grp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1))
+            sets = batch.column(batch.num_columns - 1)
+            value, at = sets.values.to_numpy(), sets.offsets.to_numpy()
+            shingles = np.empty(len(key), object)
+            shingles[:] = [value[i:j].copy() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return [key, part, np.stack(sketch, 1).view(np.uint64), rep, grp, shingles]
+
+        for key, part, sketch, rep, grp, shingles in _pieces(batches, columns):
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            found = [x for i, j in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True) for x in _run_links(rep[i:j], sketch[i:j], grp[i:j], list(shingles[i:j]), far, similarity)]
+            if found:
+                yield pa.record_batch([pa.array(c) for c in np.array(found, np.int64).T], names=["a", "b"])
 
     return task
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have such a Jaccard similarity, by their whole sets of shingles."""
+def _with_shingles(near: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The rows with the whole set of shingles of their texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    ids = near.select(F.col("rep").alias("doc")).distinct()
     of = WorkTable(docs.join(ids, "doc", "left_semi").mapInArrow(tidy(sets), "doc long, shingles array<long>"), "shingles").read()
-    both = pairs.join(of.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(of.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return near.join(of.withColumnRenamed("doc", "rep"), "rep").select(*near.columns, "shingles")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,11 +359,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     Two texts are near-duplicates if the Jaccard similarity of their sets of word shingles is at least `similarity`; groups
     are the connected components. Texts with equal sets are one row. Wide SimHash fingerprints of all shingles propose pairs:
     texts of similarity 0.8 agree in a given block of 20 bits with probability 0.037 and in one of 96 with 0.97; of 0.85 with
-    0.998. Rows are sorted by block; in each run of equal blocks, rows of different groups with near sketches are paired, and pairs
-    are checked by their whole sets. Blocks are joined in turns: what earlier turns have found to be one group isn't compared
-    again, so a large group of near-duplicates is found by some of its pairs. In a run of more than 16 rows followers are paired
-    with leaders; those that no leader keeps are a run again, with four times as many leaders, until none is left. Followers of one
-    leader are not compared with one another in that block, nor are the parts of a run that tasks part.
+    0.998. Rows are sorted by block; in each run of equal blocks, rows that have a near sketch of another group go on with
+    their whole sets of shingles, once each, and the task that gets a run compares them. It tells links between groups only, and
+    compares nothing that links have made one group, so its rows are fewer than those of the run, however many pairs are near:
+    pairs are not rows anywhere. Blocks are joined in turns: what earlier turns have found to be one group isn't compared
+    again. Parts of a run that tasks part are not compared with one another in that block.
 
     Texts without words have no near-duplicates; texts shorter than a shingle are compared as a whole. Rows without an id are
     left out, rows that repeat an id count as one document, other columns play no part; an empty table has no groups.
@@ -335,29 +375,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     reps = materialize(wide.groupBy("x", "y").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "wide-reps")
     found = wide.select("doc", "x", "y").join(reps.where("n > 1"), ["x", "y"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     heads = wide.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("rep"), *_SKETCH, "blocks")
-    similar, checked, groups, first = None, None, None, 0
+    similar, groups, first = None, None, 0
     columns = ["key", *_SKETCH, "rep", "grp"]
-    made = ", ".join(f"{c} long" for c in ("key", *_SKETCH, "grp", "a", "b")) + ", back boolean"
     for turn in TURNS:
         of = heads if groups is None else heads.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep", "left")
         of = of.select("rep", *_SKETCH, (F.col("rep") if groups is None else F.coalesce("grp", "rep")).alias("grp"), F.posexplode(F.slice("blocks", first + 1, turn)).alias("block", "bits"))
         keyed = of.select(F.xxhash64(F.col("block") + first, "bits").alias("key"), *_SKETCH, "rep", "grp")
-        first, most = first + turn, 2
-        while True:
-            dealt = keyed.repartitionByRange(partitions(spark), "key", "rep").sortWithinPartitions("key", "rep").select(*columns)
-            pairs = WorkTable(dealt.mapInArrow(tidy(_pairs(FAR, most)), made), "pairs").read()
-            new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            new = WorkTable(new if checked is None else new.join(checked, ["a", "b"], "left_anti"), "proposed").read()
-            same = WorkTable(_verified(new, rows, words, similarity), "similar").read()
-            checked = new if checked is None else checked.unionByName(new)
-            similar = same if similar is None else similar.unionByName(same)
-            # those that no leader keeps are a run again
-            either = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("kept", F.lit(True))
-            left = pairs.where("back").join(either, ["a", "b"], "left").groupBy("key", *_SKETCH, "grp", F.col("b").alias("rep")).agg(F.max("kept").alias("kept"))
-            keyed = WorkTable(left.where("kept IS NULL").select(*columns), "left").read()
-            if keyed.isEmpty():
-                break
-            most *= 4
+        first += turn
+        dealt = keyed.repartitionByRange(partitions(spark), "key", "rep").sortWithinPartitions("key", "rep").select(*columns)
+        near = WorkTable(dealt.mapInArrow(tidy(_near_rows(FAR)), ", ".join(f"{c} long" for c in ("key", "part", *_SKETCH, "rep", "grp"))), "near").read()
+        runs = _with_shingles(near, rows, words).repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "rep")
+        same = WorkTable(runs.mapInArrow(tidy(_similar(FAR, similarity)), "a long, b long"), "similar").read()
+        similar = same if similar is None else similar.unionByName(same)
         groups = materialize(components(similar), "groups")
     return components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))).select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
 

@@ -110,6 +110,27 @@ def test_near_duplicates_in_a_family(spark):
     assert got <= {(2000 + i, i) for i in range(80)} and len(got) >= 76
 
 
+def test_near_duplicates_make_no_rows_of_pairs(spark, monkeypatch):
+    """In a family of texts of similarity 0.76 that is four times as large no work table grows as the pairs do, sixteen times."""
+    rng = random.Random(9)
+    text = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(100000)}" for _ in range(n)]
+    shared, other, made = text(165), text(100), defaultdict(int)
+
+    class Counted(base.WorkTable):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            made[name] += self.read().count()
+
+    monkeypatch.setattr(simhash, "WorkTable", Counted)
+    for n in (100, 400):
+        made.clear()
+        docs = [(i, " ".join(shared + text(25))) for i in range(n)] + [(n + i, " ".join(other + text(1))) for i in range(2)]
+        assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {(n, n), (n + 1, n)}
+        if n == 100:
+            before = dict(made)
+    assert made["wide"] == 402 and sum(made.values()) <= 96 * 402 and all(x <= 8 * before[k] + 100 for k, x in made.items())
+
+
 def test_substring_dedup(spark, rows, monkeypatch):
     docs = _df(spark, rows)
     first, win = {}, {}
