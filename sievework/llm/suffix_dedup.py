@@ -8,7 +8,8 @@ words before its minimiser is equal to another one if both are in one interval a
 equal, word by word. All rows of an interval are compared with one another by sorting, so none is lost, however many share
 its beginning. Words are told by their bytes.
 
-Only minimisers found twice take part. Where all places of a minimiser have the same passage (copies), suffixes tell nothing
+Only minimisers found twice take part. Where places with one passage follow one another in a text (words that repeat at a period,
+such as one word many times), they are one row that tells how far on the last of them is. Where all places of a minimiser have the same passage (copies), suffixes tell nothing
 more: the passage is one row, named by 128 bits of a digest of its words. A minimiser's suffixes go to one
 task if they are LONG at most, else they are dealt by range over (words, document, place): so does a line that a third of all
 rows have, with other words around it. Of such a minimiser an interval at a task's first or last row may go on in the next task;
@@ -36,35 +37,52 @@ LONG = 100_000
 TOGETHER = 8_000
 
 #: A place: either a named passage of n windows from word pos on (x, y: its digest), or a suffix from word pos on (after: its
-#: words, before: those before it that a window may have, n: of them, the windows begin most to least words before it).
-_PLACE = "h long, x long, y long, doc long, pos long, n long, after string, before string, least long, most long, crowded long"
-_FOUND = "doc long, begin long, stop long, gone_begin long, gone_stop long, other long, h long, x long, y long, n long"
+#: words, before: those before it that a window may have, n: of them, the windows begin most to least words before it). The same
+#: again is at each n words further on, up to `on`.
+_PLACE = "h long, x long, y long, doc long, pos long, n long, on long, after string, before string, least long, most long, crowded long"
+#: Named ones: n windows from begin on, and the same again at each `step` words further on, up to `on`.
+_FOUND = "doc long, begin long, stop long, gone_begin long, gone_stop long, other long, h long, x long, y long, n long, step long, on long"
+
+
+def _distinct(data: bytes, at: np.ndarray, of: np.ndarray, spot: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in their order: the first of those that follow one another in a text with equal passages, windows and minimisers in
+    them, and how many words on the last one is."""
+    same = (h[1:] == h[:-1]) & (of[1:] == of[:-1]) & (lo[1:] == hi[:-1] + 1) & (spot[1:] - lo[1:] == spot[:-1] - lo[:-1]) & (hi[1:] - lo[1:] == hi[:-1] - lo[:-1])
+    i = np.flatnonzero(same)
+    begin, stop = at[lo], at[hi + words]
+    equal = [data[a:b] == data[c:d] for a, b, c, d in zip(begin[i].tolist(), stop[i].tolist(), begin[i + 1].tolist(), stop[i + 1].tolist(), strict=True)]
+    head = np.ones(len(h), bool)
+    head[i[np.array(equal, bool)] + 1] = False
+    first = np.flatnonzero(head)
+    return first, lo[np.append(first[1:], len(h)) - 1] - lo[first]
 
 
 def _minimisers(rows: DataFrame, words: int, gram: int) -> DataFrame:
-    """h of the minimisers at two places or more, and whether their passages differ (mixed)."""
+    """h of the minimisers at two places or more, in how many rows they are, and whether their passages differ (mixed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w = Words(part.column(1))
-                _, h, lo, hi = w.anchors(words, gram)
+                spot, h, lo, hi = w.anchors(words, gram)
                 if not len(h):
                     continue
                 data, at = w.joined()
+                first, _ = _distinct(data, at, w.of[lo], spot, h, lo, hi, words)
+                n, h, lo, hi = np.diff(np.append(first, len(h))), h[first], lo[first], hi[first]
                 name = digests([data[i:j] for i, j in zip(at[lo].tolist(), at[hi + words].tolist(), strict=True)])
                 order = np.argsort(h, kind="stable")
-                h, name = h[order], name[order]
+                h, name, n = h[order], name[order], n[order]
                 new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 low, high = np.minimum.reduceat(name, new), np.maximum.reduceat(name, new)
                 yield pa.record_batch(
-                    [pa.array(h[new].view(np.int64)), *(pa.array(c[:, i]) for i in (0, 1) for c in (low, high)), pa.array(np.diff(np.append(new, len(h))))],
-                    names=["h", "low_x", "high_x", "low_y", "high_y", "n"],
+                    [pa.array(h[new].view(np.int64)), *(pa.array(c[:, i]) for i in (0, 1) for c in (low, high)), pa.array(np.add.reduceat(n, new)), pa.array(np.diff(np.append(new, len(h))))],
+                    names=["h", "low_x", "high_x", "low_y", "high_y", "n", "rows"],
                 )
 
-    found = rows.mapInArrow(tidy(run), "h long, low_x long, high_x long, low_y long, high_y long, n long")
-    found = found.groupBy("h").agg(*(F.min(f"low_{c}").alias(f"low_{c}") for c in "xy"), *(F.max(f"high_{c}").alias(f"high_{c}") for c in "xy"), F.sum("n").alias("n"))
-    return found.where("n > 1").select("h", "n", F.expr("low_x < high_x OR low_y < high_y").alias("mixed"))
+    found = rows.mapInArrow(tidy(run), "h long, low_x long, high_x long, low_y long, high_y long, n long, rows long")
+    found = found.groupBy("h").agg(*(F.min(f"low_{c}").alias(f"low_{c}") for c in "xy"), *(F.max(f"high_{c}").alias(f"high_{c}") for c in "xy"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    return found.where("n > 1").select("h", "rows", F.expr("low_x < high_x OR low_y < high_y").alias("mixed"))
 
 
 def _places(rows: DataFrame, table, mixed, crowded, words: int, gram: int) -> DataFrame:
@@ -80,16 +98,18 @@ def _places(rows: DataFrame, table, mixed, crowded, words: int, gram: int) -> Da
                 if not len(h):
                     continue
                 data, at = w.joined()
+                one, on = _distinct(data, at, w.of[lo], spot, h, lo, hi, words)
+                spot, h, lo, hi = spot[one], h[one], lo[one], hi[one]
                 text = w.of[lo]
                 ids, first = np.asarray(part.column(0))[text], w.first[text]
                 differ = in_table(mixed.value, h)
                 i = np.flatnonzero(differ)
                 after = [data[a:b].decode() for a, b in zip(at[spot[i]].tolist(), at[hi[i] + words].tolist(), strict=True)]
                 before = [data[a:b].decode() for a, b in zip(at[lo[i]].tolist(), at[spot[i]].tolist(), strict=True)]
-                yield _rows(h=h[i], doc=ids[i], pos=spot[i] - first[i], n=hi[i] - lo[i] + 1, after=after, before=before, least=spot[i] - hi[i], most=spot[i] - lo[i], crowded=in_table(crowded.value, h[i]).astype(np.int64))
+                yield _rows(h=h[i], doc=ids[i], pos=spot[i] - first[i], n=hi[i] - lo[i] + 1, on=on[i], after=after, before=before, least=spot[i] - hi[i], most=spot[i] - lo[i], crowded=in_table(crowded.value, h[i]).astype(np.int64))
                 i = np.flatnonzero(~differ)
                 name = digests([data[a:b] for a, b in zip(at[lo[i]].tolist(), at[hi[i] + words].tolist(), strict=True)])
-                yield _rows(h=h[i], x=name[:, 0], y=name[:, 1], doc=ids[i], pos=lo[i] - first[i], n=hi[i] - lo[i] + 1)
+                yield _rows(h=h[i], x=name[:, 0], y=name[:, 1], doc=ids[i], pos=lo[i] - first[i], n=hi[i] - lo[i] + 1, on=on[i])
 
     return rows.mapInArrow(tidy(run), _PLACE)
 
@@ -110,8 +130,8 @@ def _found(*columns) -> pa.RecordBatch:
     return pa.record_batch([pa.nulls(size, pa.int64()) if c is None else c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
 
-def _as_they_are(h, x, y, doc, pos, n) -> pa.RecordBatch:
-    return _found(doc, pos, None, None, None, None, h, x, y, n)
+def _as_they_are(h, x, y, doc, pos, n, step, on) -> pa.RecordBatch:
+    return _found(doc, pos, None, None, None, None, h, x, y, n, step, on)
 
 
 def _together(doc, pos, n, gone, other, words: int) -> pa.RecordBatch:
@@ -123,7 +143,14 @@ def _together(doc, pos, n, gone, other, words: int) -> pa.RecordBatch:
     at = np.flatnonzero(head)
     stop = np.maximum.reduceat(stop, at)
     doc, pos, gone, other = doc[at], pos[at], gone[at], other[at]
-    return _found(doc, pos, stop, pos, np.where(gone, stop, pos), pa.array(other, pa.int64(), mask=other == _NONE), None, None, None, None)
+    return _found(doc, pos, stop, pos, np.where(gone, stop, pos), pa.array(other, pa.int64(), mask=other == _NONE), None, None, None, None, None, None)
+
+
+def _with_copies(doc, pos, n, step, on, gone, other, words: int) -> pa.RecordBatch:
+    """As `_together`, of n windows each and the same again at each `step` words further on, up to `on`: these have an earlier place."""
+    more = ~gone & (on > 0)
+    both = lambda x, y: np.concatenate([x, y[more]])
+    return _together(both(doc, doc), both(pos, pos + step), both(np.where(gone, n + on, n), n + on - step), both(gone, ~gone), both(other, other), words)
 
 
 def _heads(*columns) -> np.ndarray:
@@ -135,21 +162,22 @@ def _heads(*columns) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _told_of_runs(new: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _told_of_runs(new: np.ndarray, doc: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of runs (beginning at `new`) of equal windows, each sorted by (doc, pos): which rows have company; of those, if an earlier
-    one has the window (gone) and the smallest other document with it; and these rows."""
+    one has the window (gone) and the smallest other document with it."""
     size = np.diff(np.append(new, len(doc)))
-    keep = np.repeat(size > 1, size)
-    doc, size = doc[keep], size[size > 1]
+    several = (size > 1) | (on[new] > 0)
+    keep = np.repeat(several, size)
+    doc, size = doc[keep], size[several]
     if not len(size):
-        return keep, np.zeros(0, bool), doc, pos[keep]
+        return keep, np.zeros(0, bool), doc
     new = np.cumsum(size) - size
     run = np.repeat(np.arange(len(size)), size)
     least = doc[new]
     second = np.minimum.reduceat(np.where(doc != least[run], doc, _NONE), new)
     gone = np.ones(len(doc), bool)
     gone[new] = False
-    return keep, gone, np.where(doc != least[run], least[run], second[run]), pos[keep]
+    return keep, gone, np.where(doc != least[run], least[run], second[run])
 
 
 def common_beginnings(number: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -166,7 +194,7 @@ def common_beginnings(number: np.ndarray, first: np.ndarray, size: np.ndarray) -
     return out
 
 
-def suffix_windows(h, doc, pos, after: pa.Array, before: pa.Array, least, most, words: int, more_before: bool, more_after: bool) -> Iterator[pa.RecordBatch]:
+def suffix_windows(h, doc, pos, after: pa.Array, before: pa.Array, least, most, on, words: int, more_before: bool, more_after: bool) -> Iterator[pa.RecordBatch]:
     """The windows that rows of suffixes, sorted by (h, after, doc, pos), have in common. If rows may go on before or after these,
     the windows of the interval at that end come as they are, named."""
     n = len(h)
@@ -176,7 +204,7 @@ def suffix_windows(h, doc, pos, after: pa.Array, before: pa.Array, least, most,
     lcp = common_beginnings(number, at[:n], right)
     lcp[_heads(h)] = -1
     # left: a name for the o words before each suffix, for each o in turn
-    back, ends, open_rows = np.zeros(n, np.int64), at[n + 1 :], []
+    back, ends, open_rows, step = np.zeros(n, np.int64), at[n + 1 :], [], most - least + 1
     for o in range(int(most.max()) + 1 if n else 0):
         if o:
             word = np.where(left >= o, number[np.maximum(ends - o, 0)], -1)
@@ -186,19 +214,20 @@ def suffix_windows(h, doc, pos, after: pa.Array, before: pa.Array, least, most,
         cut = use & (more_before & (interval == interval[0]) | more_after & (interval == interval[-1]))
         open_rows.append(np.stack([np.flatnonzero(cut), np.full(int(cut.sum()), o)]))
         i = np.flatnonzero(use & ~cut)
-        if len(i) < 2:
+        if not len(i):
             continue
         begin = pos[i] - o
         order = np.lexsort((begin, doc[i], back[i], interval[i]))
         i, begin = i[order], begin[order]
-        keep, gone, other, begin = _told_of_runs(_heads(interval[i], back[i]), doc[i], begin)
+        keep, gone, other = _told_of_runs(_heads(interval[i], back[i]), doc[i], on[i])
         if len(gone):
-            yield _together(doc[i][keep], begin, 1, gone, other, words)
+            i = i[keep]
+            yield _with_copies(doc[i], begin[keep], 1, step[i], on[i], gone, other, words)
     i, o = np.concatenate(open_rows, axis=1) if open_rows else np.zeros((2, 0), np.int64)
     if len(i):
         data, byte = both.joined()
         name = digests([data[a:b] + data[c:d] for a, b, c, d in zip(byte[ends[i] - o].tolist(), byte[ends[i]].tolist(), byte[at[i]].tolist(), byte[at[i] + words - o].tolist(), strict=True)])
-        yield _as_they_are(h[i], name[:, 0], name[:, 1], doc[i], pos[i] - o, np.ones(len(i), np.int64))
+        yield _as_they_are(h[i], name[:, 0], name[:, 1], doc[i], pos[i] - o, np.ones(len(i), np.int64), step[i], on[i])
 
 
 def _suffixes(words: int, longest: int, together: int):
@@ -207,7 +236,7 @@ def _suffixes(words: int, longest: int, together: int):
 
     def whole(rows: list, more_before: bool, more_after: bool) -> Iterator[pa.RecordBatch]:
         found, crowded = [], rows[7]
-        for out in suffix_windows(*rows[:7], words, more_before and crowded[0] == 1, more_after and crowded[-1] == 1):
+        for out in suffix_windows(*rows[:7], rows[8], words, more_before and crowded[0] == 1, more_after and crowded[-1] == 1):
             if out.column("x").null_count:
                 found.append(out)
             else:
@@ -224,7 +253,7 @@ def _suffixes(words: int, longest: int, together: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(i) if i in (3, 4) else batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)])
+            held.append([batch.column(i) if i in (3, 4) else batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)])
             count += batch.num_rows
             if count < together:
                 continue
@@ -253,9 +282,11 @@ def _runs(words: int, longest: int):
             size = int(new[1]) if len(new) > 1 else len(rows[0])
             yield _as_they_are(*(x[:size] for x in rows))
             rows, new = [x[size:] for x in rows], new[1:] - size
-        keep, gone, other, pos = _told_of_runs(new, rows[3], rows[4])
+        if not len(new):
+            return
+        keep, gone, other = _told_of_runs(new, rows[3], rows[7])
         if len(gone):
-            yield _together(rows[3][keep], pos, rows[5][keep], gone, other, words)
+            yield _with_copies(*(x[keep] for x in rows[3:]), gone, other, words)
 
     def last_run(rows: list[np.ndarray]) -> int:
         cut = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in rows[:3]]))
@@ -267,7 +298,7 @@ def _runs(words: int, longest: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)])
             count += batch.num_rows
             if count < longest:  # so many at a time, that windows of one passage are met together
                 continue
@@ -292,28 +323,28 @@ def _runs(words: int, longest: int):
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each run in a batch of places (x, y, doc, pos): its first and last place, and its second document."""
+    """Of each run in a batch of places (x, y, doc, pos, on): its first and last place, and its second document."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        x, y, doc, pos, on = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         order = np.lexsort((pos, doc, y, x))
-        x, y, doc, pos = x[order], y[order], doc[order], pos[order]
+        x, y, doc, pos, on = x[order], y[order], doc[order], pos[order], on[order]
         new = _heads(x, y)
         size = np.diff(np.append(new, len(x)))
         last = new + size - 1
         second = np.minimum.reduceat(np.where(doc != np.repeat(doc[new], size), doc, _NONE), new)
-        yield pa.record_batch([pa.array(c) for c in (x[new], y[new], doc[new], pos[new], doc[last], pos[last], second)], names=["x", "y", "doc", "pos", "last_doc", "last_pos", "second"])
+        yield pa.record_batch([pa.array(c) for c in (x[new], y[new], doc[new], pos[new], doc[last], pos[last] + on[last], second)], names=["x", "y", "doc", "pos", "last_doc", "last_pos", "second"])
 
 
 def _told(least, words: int):
-    """As `_runs`, of places (x, y, doc, pos, n) whose runs' first place and second document are known."""
+    """As `_runs`, of places (x, y, doc, pos, n, step, on) whose runs' first place and second document are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y, doc, pos, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            x, y, doc, pos, n, step, on = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             new = _heads(x, y)
             found = [least.value.get(k) for k in zip(x[new].tolist(), y[new].tolist(), strict=True)]
             size = np.diff(np.append(new, len(x)))
@@ -321,8 +352,8 @@ def _told(least, words: int):
             if not keep.any():
                 continue
             first, at, second = (np.repeat([k[i] if k else 0 for k in found], size)[keep] for i in range(3))
-            doc, pos, n = doc[keep], pos[keep], n[keep]
-            yield _together(doc, pos, n, (doc != first) | (pos != at), np.where(doc != first, first, second), words)
+            doc, pos, n, step, on = doc[keep], pos[keep], n[keep], step[keep], on[keep]
+            yield _with_copies(doc, pos, n, step, on, (doc != first) | (pos != at), np.where(doc != first, first, second), words)
 
     return run
 
@@ -332,16 +363,16 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, lon
     or an earlier place of this one, has; empty if none) and other (the smallest other document with them)."""
     spark = docs.sparkSession
     h = WorkTable(_minimisers(docs, words, gram), "minimisers").read()
-    places = WorkTable(_places(docs, bit_table(h), bit_table(h.where("mixed")), bit_table(h.where(F.col("n") > crowded)), words, gram), "places").read()
+    places = WorkTable(_places(docs, bit_table(h), bit_table(h.where("mixed")), bit_table(h.where(F.col("rows") > crowded)), words, gram), "places").read()
     order = ["h", "after", "doc", "pos"]
-    suffixes = places.where("after IS NOT NULL").select("h", "doc", "pos", "after", "before", "least", "most", "crowded")
+    suffixes = places.where("after IS NOT NULL").select("h", "doc", "pos", "after", "before", "least", "most", "crowded", "on")
     dealt = suffixes.repartitionByRange(partitions(spark), "h", *(F.when(F.col("crowded") == 1, F.col(c)) for c in order[1:]))
     met = WorkTable(dealt.sortWithinPartitions(*order).mapInArrow(tidy(_suffixes(words, longest, together)), _FOUND), "suffixes").read()
     order = ["h", "x", "y", "doc", "pos"]
-    named = places.where("x IS NOT NULL").select(*order, "n").unionByName(met.where("x IS NOT NULL").select("h", "x", "y", "doc", F.col("begin").alias("pos"), "n"))
+    named = places.where("x IS NOT NULL").select(*order, "n", F.col("n").alias("step"), "on").unionByName(met.where("x IS NOT NULL").select("h", "x", "y", "doc", F.col("begin").alias("pos"), "n", "step", "on"))
     runs = WorkTable(named.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(tidy(_runs(words, longest)), _FOUND), "runs").read()
-    rest = runs.where("x IS NOT NULL").select("x", "y", "doc", F.col("begin").alias("pos"), "n")
-    ends = WorkTable(rest.select("x", "y", "doc", "pos").mapInArrow(tidy(_ends), "x long, y long, doc long, pos long, last_doc long, last_pos long, second long"), "ends").read()
+    rest = runs.where("x IS NOT NULL").select("x", "y", "doc", F.col("begin").alias("pos"), "n", "step", "on")
+    ends = WorkTable(rest.select("x", "y", "doc", "pos", "on").mapInArrow(tidy(_ends), "x long, y long, doc long, pos long, last_doc long, last_pos long, second long"), "ends").read()
     led = ends.groupBy("x", "y").agg(F.min(F.struct("doc", "pos")).alias("least"), F.max(F.struct("last_doc", "last_pos")).alias("most")).where("least.doc <> most.last_doc OR least.pos <> most.last_pos")
     second = F.min(F.when(F.col("doc") == F.col("least.doc"), F.col("second")).otherwise(F.col("doc")))
     # two keys a task, one for each LONG rows

@@ -198,6 +198,43 @@ def test_suffix_dedup_of_passages_that_end_alike(spark, longest, monkeypatch):
     assert {i: (words_of(r.spans), words_of(r.gone), set(r.others)) for i, r in got.items()} == {i: (cover[i], gone[i], others[i]) for i, _ in docs}
 
 
+@pytest.mark.parametrize("crowded", [suffix_dedup.LONG, 3])
+def test_suffix_dedup_of_words_at_a_period(spark, crowded, monkeypatch):
+    """Two words in turn, hundreds of times a text, make as many rows as they do dozens of times; the passages are those of brute force."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n))
+    made = defaultdict(int)
+
+    class Counted(base.WorkTable):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            made[name] += self.read().count()
+
+    monkeypatch.setattr(suffix_dedup, "WorkTable", Counted)
+    monkeypatch.setattr(suffix_dedup.repeated_passages, "__defaults__", (50, 8, crowded, crowded, crowded))
+    heads, before = [text(30) for _ in range(4)], None
+    for times in (60, 400):
+        made.clear()
+        docs = [(i, f"{heads[i % 4]} {'is on ' * (times + i % 3)}{text(20)}") for i in range(12)] + [(12, "one " * 3 * times), (13, "to be or " * times), (14, f"{'on is ' * times}is {heads[1]}")]
+        got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        places = defaultdict(list)
+        for i, t in docs:
+            w = _words(t)
+            for k in range(len(w) - 49):
+                places[" ".join(w[k : k + 50])].append((i, k))
+        cover, gone, others = defaultdict(set), defaultdict(set), defaultdict(set)
+        for p in places.values():
+            least, second = p[0], next((j for j, _ in p if j != p[0][0]), None)
+            for i, k in p if len(p) > 1 else []:
+                cover[i].update(range(k, k + 50))
+                gone[i].update(range(k, k + 50) if (i, k) > least else [])
+                others[i].update({second if i == least[0] else least[0]} - {None})
+        words_of = lambda spans: {k for s in spans for k in range(s.begin, s.stop)}
+        assert {i: (words_of(r.spans), words_of(r.gone), set(r.others)) for i, r in got.items()} == {i: (cover[i], gone[i], others[i]) for i, _ in docs}
+        before = before or dict(made)
+    assert all(x <= before[k] + 30 for k, x in made.items()), (before, dict(made))
+
+
 def test_decontaminate(spark, rows):
     text = dict(rows)
     items = [(1, " ".join(_words(text[2])[:40])), (2, "w1 w2"), (3, None), (4, ""), (10, text[5]), (2, "w7")]
