@@ -192,6 +192,8 @@ BLOCKS, BLOCK_BITS, SKETCH = 96, 20, 192
 TURNS = (6, 30, 60)
 #: Bits of the 192 that may differ: similar texts of 0.8 differ in 29 on average, with a deviation of 5.
 FAR = 44
+#: Bits of a map of ids for each of them, and at most (8 MiB, which are broadcast), in pieces of so many.
+MAP_BITS, MAP_MOST, MAP_PIECE = 16, 1 << 26, 1 << 15
 _WORDS = -(-(BLOCKS * BLOCK_BITS + SKETCH) // 64)
 _SKETCH = [f"s{i}" for i in range(SKETCH // 64)]
 
@@ -340,8 +342,20 @@ def _similar(far: int, similarity: float):
     return task
 
 
-def _with_shingles(near: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The rows with the whole set of shingles of their texts."""
+def _perhaps(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose id may be among the ids (a column of that name), or with left_anti those whose id can't be; ids
+    aren't null. Texts pass a map of bits in the task that reads them, so that a join moves those of few other rows (6 % of
+    them up to 4 million ids; the map grows no further, and more pass)."""
+    bits = min(max(MAP_BITS * ids.agg(F.count_distinct(id_col)).first()[0], MAP_PIECE), MAP_MOST)
+    at = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(bits))
+    place = F.pmod(at, F.lit(MAP_PIECE))
+    pieces = ids.select(at.alias("__at")).groupBy(F.shiftright("__at", 15).alias("__piece")).agg(F.bitmap_construct_agg(F.pmod("__at", F.lit(MAP_PIECE))).alias("__map"))
+    byte = F.conv(F.hex(F.substring("__map", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.join(F.broadcast(pieces), (F.shiftright(at, 15) == F.col("__piece")) & (F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1), how)
+
+
+def _with_shingles(near: DataFrame, docs: DataFrame, words: int) -> tuple[DataFrame, WorkTable]:
+    """The rows with the whole set of shingles of their texts, and the table of sets that they are read from."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,8 +363,8 @@ def _with_shingles(near: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
     ids = near.select(F.col("rep").alias("doc")).distinct()
-    of = WorkTable(docs.join(ids, "doc", "left_semi").mapInArrow(tidy(sets), "doc long, shingles array<long>"), "shingles").read()
-    return near.join(of.withColumnRenamed("doc", "rep"), "rep").select(*near.columns, "shingles")
+    table = WorkTable(_perhaps(docs, ids, "doc").join(ids, "doc", "left_semi").mapInArrow(tidy(sets), "doc long, shingles array<long>"), "shingles")
+    return near.join(table.read().withColumnRenamed("doc", "rep"), "rep").select(*near.columns, "shingles"), table
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -374,18 +388,22 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
     wide = WorkTable(_wide(rows, words), "wide").read()
     reps = materialize(wide.groupBy("x", "y").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "wide-reps")
     found = wide.select("doc", "x", "y").join(reps.where("n > 1"), ["x", "y"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    heads = wide.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("rep"), *_SKETCH, "blocks")
     similar, groups, first = None, None, 0
     columns = ["key", *_SKETCH, "rep", "grp"]
     for turn in TURNS:
+        # only this turn's blocks are moved
+        heads = wide.select(F.col("doc").alias("rep"), *_SKETCH, F.slice("blocks", first + 1, turn).alias("blocks")).join(reps.select("rep"), "rep", "left_semi")
         of = heads if groups is None else heads.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep", "left")
-        of = of.select("rep", *_SKETCH, (F.col("rep") if groups is None else F.coalesce("grp", "rep")).alias("grp"), F.posexplode(F.slice("blocks", first + 1, turn)).alias("block", "bits"))
-        keyed = of.select(F.xxhash64(F.col("block") + first, "bits").alias("key"), *_SKETCH, "rep", "grp")
+        of = of.select("rep", *_SKETCH, (F.col("rep") if groups is None else F.coalesce("grp", "rep")).alias("grp"), F.posexplode("blocks").alias("block", "bits"))
+        keyed = of.select((F.col("bits").cast("long") * BLOCKS + F.col("block") + first).alias("key"), *_SKETCH, "rep", "grp")
         first += turn
         dealt = keyed.repartitionByRange(partitions(spark), "key", "rep").sortWithinPartitions("key", "rep").select(*columns)
-        near = WorkTable(dealt.mapInArrow(tidy(_near_rows(FAR)), ", ".join(f"{c} long" for c in ("key", "part", *_SKETCH, "rep", "grp"))), "near").read()
-        runs = _with_shingles(near, rows, words).repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "rep")
+        near = WorkTable(dealt.mapInArrow(tidy(_near_rows(FAR)), ", ".join(f"{c} long" for c in ("key", "part", *_SKETCH, "rep", "grp"))), "near")
+        runs, sets = _with_shingles(near.read(), rows, words)
+        runs = runs.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part", "rep")
         same = WorkTable(runs.mapInArrow(tidy(_similar(FAR, similarity)), "a long, b long"), "similar").read()
+        near.drop()
+        sets.drop()
         similar = same if similar is None else similar.unionByName(same)
         groups = materialize(components(similar), "groups")
     return components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b")))).select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
@@ -394,5 +412,6 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = S
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs but for those with a near-duplicate of a smaller id in their group, with all their columns. Rows without an
     id go."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(F.col(id_col) != F.col("component_id")).select(id_col)
+    docs = docs.where(F.col(id_col).isNotNull())
+    return _perhaps(docs, gone, id_col, "left_anti").unionByName(_perhaps(docs, gone, id_col).join(gone, id_col, "left_anti").select(*docs.columns))

@@ -131,6 +131,33 @@ def test_near_duplicates_make_no_rows_of_pairs(spark, monkeypatch):
     assert made["wide"] == 402 and sum(made.values()) <= 96 * 402 and all(x <= 8 * before[k] + 100 for k, x in made.items())
 
 
+@pytest.mark.parametrize("most", [simhash.MAP_MOST, 1 << 15])
+def test_ids_that_may_be_among_some(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MAP_MOST", most)
+    docs, ids = spark.range(-1000, 40000), spark.range(-1000, 40000, 17)
+    some, rest = ({r.id for r in simhash._perhaps(docs, ids, "id", how).collect()} for how in ("left_semi", "left_anti"))
+    assert some >= set(range(-1000, 40000, 17)) and some | rest == set(range(-1000, 40000)) and not some & rest and len(rest) > 35000
+
+
+def test_near_duplicates_do_not_move_all_texts(spark):
+    """Where Spark chooses no broadcast join, two runs write less to shuffles than the texts have once; each turn's join and the
+    last one wrote them all."""
+    rng = random.Random(3)
+    texts = [rng.randbytes(15000).hex(" ", 3) for _ in range(300)]
+    texts += [f"{t} more" for t in texts[:3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(), spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite())[1]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    limit, before = spark.conf.get(key), written()
+    spark.conf.set(key, "-1")
+    try:
+        assert {r.doc_id for r in simhash.keep_one(df).select("doc_id").collect()} == set(range(300))
+        assert simhash.keep_one(df).agg(F.sum(F.length("text"))).first()[0] == sum(map(len, texts[:300]))
+    finally:
+        spark.conf.set(key, limit)
+    assert written() - before < sum(map(len, texts))
+
+
 def test_substring_dedup(spark, rows, monkeypatch):
     docs = _df(spark, rows)
     first, win = {}, {}
