@@ -13,6 +13,7 @@ how many ids come before it, how many it has, and the root over its documents' r
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -29,26 +30,34 @@ from .tokens import encoder, largest_id
 SPAN, BITS, LEAST, MOST = 8, 10, 256, 4096
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks of the ids end; which depends on the ids about a cut alone, but for the least and most lengths."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    roll = np.zeros(n, np.uint64)
-    for j in range(SPAN):  # ids j places before count with the multiplier's power j
-        roll[j:] = roll[j:] + x[: n - j] * np.uint64(pow(0xD1342543DE82EF95, j, 1 << 64))
+def cuts(ids: np.ndarray, at: list[int]) -> list[list[int]]:
+    """Where chunks of documents end, of each from its begin on; document d has the ids from at[d] to at[d + 1]. This depends on
+    the ids about a cut alone, but for the least and most lengths."""
+    roll = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    j = 1
+    while j < SPAN:  # ids j places before count with the multiplier's power j; a document's first SPAN ids make no cut
+        roll[j:] += roll[:-j] * np.uint64(pow(0xD1342543DE82EF95, j, 1 << 64))
+        j *= 2
     roll ^= roll >> np.uint64(32)
-    ends = (np.flatnonzero((roll & np.uint64((1 << BITS) - 1)) == 0) + 1).tolist()
-    out, last = [], 0
-    for e in [*ends, n]:
-        while e - last > MOST:
-            last += MOST
-            out.append(last)
-        if e - last >= LEAST or e == n:
-            if e > last:
-                out.append(e)
-                last = e
+    ends = np.flatnonzero((roll & np.uint64((1 << BITS) - 1)) == 0) + 1
+    of, out = np.searchsorted(ends, at, "right").tolist(), []
+    ends = ends.tolist()
+    for d, (begin, end) in enumerate(zip(at, at[1:])):
+        n, last, own = end - begin, 0, []
+        if n > LEAST:
+            for e in (x - begin for x in ends[of[d] : of[d + 1]]):
+                while e - last > MOST:
+                    last += MOST
+                    own.append(last)
+                if e - last >= LEAST:
+                    own.append(e)
+                    last = e
+            while n - last > MOST:
+                last += MOST
+                own.append(last)
+        if n > last:
+            own.append(n)
+        out.append(own)
     return out
 
 
@@ -73,18 +82,16 @@ def _chunks(path: str, kind: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, pack = encoder(path, kind), zstandard.ZstdCompressor(level=1, write_content_size=True)
         for part in (p for b in batches for p in slices(b, 1 << 21)):
-            n, addresses, packed = [], [], []
-            for ids in e.encode(part.column(1)):
-                ids = np.append(ids, np.uint32(end_id)).astype(f"<u{width}")
-                last, a, p = 0, [], []
-                for c in cuts(ids):
-                    data = ids[last:c].tobytes()
-                    a.append(digest(data))
-                    p.append(pack.compress(data))
-                    last = c
-                n.append(len(ids))
-                addresses.append(a)
-                packed.append(p)
+            addresses, packed = [], []
+            end = np.array([end_id], f"<u{width}")
+            ids = [x for i in e.encode(part.column(1)) for x in (i, end)]
+            n = [len(i) + 1 for i in ids[::2]]
+            ids = np.concatenate(ids).astype(f"<u{width}")
+            data, at = ids.tobytes(), [0, *itertools.accumulate(n)]
+            for begin, ends in zip(at, cuts(ids, at)):
+                chunks = [data[(begin + i) * width : (begin + j) * width] for i, j in zip([0, *ends], ends)]
+                addresses.append([digest(x) for x in chunks])
+                packed.append([pack.compress(x) for x in chunks])
             yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(addresses, _CHUNKS), pa.array(packed, _CHUNKS)], names=["doc", "n", "addresses", "packed"])
 
     return run

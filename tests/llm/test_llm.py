@@ -290,6 +290,64 @@ def test_encoders_agree_with_the_library():
         assert all(np.array_equal(a, b) for a, b in zip(short.encode(pa.array(texts)), plain.encode(texts), strict=True))
 
 
+def _spelt(prefix, n):
+    return prefix + "".join("abcdefghij"[int(c)] for c in str(n))
+
+
+@pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
+def test_encoder_keeps_frequent_words_when_memory_is_full(monkeypatch, path, kind):
+    monkeypatch.setattr(tokens, "CACHE", 300)
+    short, plain, learned = tokens.ArrayEncoder(path, kind), tokens.Encoder(path, "none"), []
+    add = short._add
+    monkeypatch.setattr(short, "_add", lambda words, *rest: (learned.extend(w if isinstance(w, str) else w.decode() for w in words), add(words, *rest))[1])
+    frequent = [_spelt("fr", i) for i in range(100)] + ["unübersehbareswortungetüm"]  # over 16 bytes
+    for batch in range(20):
+        texts = [" " + " ".join(frequent), " ".join(_spelt("new" + "xyz"[batch % 3], batch * 1000 + i) for i in range(60))]
+        assert all(np.array_equal(a, b) for a, b in zip(short.encode(pa.array(texts)), plain.encode(texts), strict=True))
+    learned = [w.strip() for w in learned]
+    assert {learned.count(w) for w in frequent} == {1} and short.count <= 300
+    texts = [" ".join(_spelt("much", i) for i in range(2000)), "fr"]  # more at once than may stay
+    assert all(np.array_equal(a, b) for _ in range(3) for a, b in zip(short.encode(pa.array(texts)), plain.encode(texts), strict=True))
+
+
+@pytest.mark.parametrize("spread", [lambda x: np.zeros_like(x), lambda x: x % np.uint64(7)])
+def test_encoder_where_hashes_agree(monkeypatch, spread):
+    monkeypatch.setattr(tokens, "mix", spread)
+    texts = [" ".join(_spelt("a" * (i % 20), i + j) for j in range(10)) for i in range(300)]
+    for path, kind in ((BYTE, "byte"), (WORD, "word")):
+        short, plain = tokens.ArrayEncoder(path, kind), tokens.Encoder(path, "none")
+        for i in range(0, 300, 50):
+            part = [None, "", *texts[max(0, i - 50) : i + 50]]
+            assert all(np.array_equal(a, b) for a, b in zip(short.encode(pa.array(part)), plain.encode([t or "" for t in part]), strict=True))
+
+
+def test_encoder_of_other_spellings(monkeypatch):
+    """A vocabulary whose model doesn't spell bytes as expected: the library encodes each word."""
+    monkeypatch.setattr(tokens, "_spelled", lambda words: ["?" for _ in words])
+    texts = ["one two  three Öl 12 ?!", "", "naïve"]
+    for path, kind in ((BYTE, "byte"), (WORD, "word")):
+        short, plain = tokens.ArrayEncoder(path, kind), tokens.Encoder(path, "none")
+        assert not short.direct and all(np.array_equal(a, b) for a, b in zip(short.encode(pa.array(texts)), plain.encode(texts), strict=True))
+
+
+def test_chunks_are_cut_as_each_document_alone():
+    def alone(ids):
+        ends, last, n = [], 0, len(ids)
+        for e in range(1, n + 1):
+            run = ids[max(0, e - token_store.SPAN) : e][::-1]
+            h = sum((int(x) + 1) * 0x9E3779B97F4A7C15 * 0xD1342543DE82EF95**j for j, x in enumerate(run)) % (1 << 64)
+            h ^= h >> 32
+            if e == n or e - last >= token_store.LEAST and (h % (1 << token_store.BITS) == 0 or e - last == token_store.MOST):
+                ends.append(e)
+                last = e
+        return ends
+
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 50257, n).astype("<u2") for n in (0, 1, 7, 256, 257, 0, 3000, 9000, 20000)] + [np.full(9000, 5, "<u2")]
+    at = np.cumsum([0, *map(len, docs)]).tolist()
+    assert token_store.cuts(np.concatenate(docs), at) == [alone(d) for d in docs]
+
+
 def test_token_store_round_trip(spark, rows, tmp_path):
     token_store.write(_df(spark, rows), str(tmp_path / "s"), BYTE, "byte")
     got = {(r.doc, r.start, r.n_tokens, r.crc) for r in token_store.read(spark, str(tmp_path / "s"), token_store.crc_of, "crc long").collect()}
